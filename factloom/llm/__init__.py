@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .bpe import op4_bpe_trie
+    from .decontaminate import op6_decontaminate
     from .quality import op8_quality_llr
 
-    return {f.__name__: f for f in (op8_quality_llr,)}
+    return {f.__name__: f for f in (op4_bpe_trie, op6_decontaminate, op8_quality_llr)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontaminate import OP6_SQL
+
+    return {"op6_decontaminate": OP6_SQL}
