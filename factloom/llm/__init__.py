@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .bpe import op4_bpe_trie
     from .decontaminate import op6_decontaminate
+    from .jaccard import op9_jaccard_join
     from .linededup import op10_line_chunks
     from .quality import op8_quality_llr
     from .sharding import op1_hilbert_shards
     from .warc import op3_warc_zstd
 
-    found = (op1_hilbert_shards, op3_warc_zstd, op4_bpe_trie, op6_decontaminate, op8_quality_llr, op10_line_chunks)
+    found = (op1_hilbert_shards, op3_warc_zstd, op4_bpe_trie, op6_decontaminate, op8_quality_llr, op9_jaccard_join, op10_line_chunks)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     from .decontaminate import OP6_SQL
+    from .jaccard import OP9_SQL
     from .linededup import OP10_SQL
     from .warc import OP3_SQL
 
-    return {"op3_warc_zstd": OP3_SQL, "op6_decontaminate": OP6_SQL, "op10_line_chunks": OP10_SQL}
+    return {"op3_warc_zstd": OP3_SQL, "op6_decontaminate": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_line_chunks": OP10_SQL}
