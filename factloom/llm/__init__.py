@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .linededup import op10_line_chunks
     from .quality import op8_quality_llr
     from .sharding import op1_hilbert_shards
+    from .substrings import op7_substring_fm
     from .warc import op3_warc_zstd
 
-    found = (op1_hilbert_shards, op3_warc_zstd, op4_bpe_trie, op6_decontaminate, op8_quality_llr, op9_jaccard_join, op10_line_chunks)
+    found = (op1_hilbert_shards, op3_warc_zstd, op4_bpe_trie, op6_decontaminate, op7_substring_fm, op8_quality_llr, op9_jaccard_join, op10_line_chunks)
     return {f.__name__: f for f in found}
 
 
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     from .decontaminate import OP6_SQL
     from .jaccard import OP9_SQL
     from .linededup import OP10_SQL
+    from .substrings import OP7_SQL
     from .warc import OP3_SQL
 
-    return {"op3_warc_zstd": OP3_SQL, "op6_decontaminate": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_line_chunks": OP10_SQL}
+    return {"op3_warc_zstd": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_substring_fm": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_line_chunks": OP10_SQL}
