@@ -31,19 +31,22 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text, to tell rows of one id apart), lines and where chunks end."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), lines.alias("lines"))
-    rows = rows.withColumn("marks", F.transform("lines", line_hash))
-    return rows.select(
-        "doc_id",
-        "key",
-        "lines",
-        F.expr(
-            f"filter(sequence(1, size(lines)), i -> i = size(lines) or (i > 1 and (get(marks, i - 2) * 31 + get(marks, i - 1)) % {DIVISOR} = 0))"
-        ).alias("stops"),
-    )
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key (a hash of the text, to tell rows of one id apart)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+
+
+def with_chunks(rows: DataFrame) -> DataFrame:
+    """Adds lines, and stops: the line after which each chunk ends.
+
+    Each array is used as a whole: inside a lambda the optimizer would put its whole expression, to
+    be computed again for every element.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    marks = F.transform(lines, line_hash)
+    ends = F.zip_with(marks, F.concat(F.array(F.lit(None).cast("long")), marks), lambda now, before: (before * 31 + now) % DIVISOR == 0)
+    stops = F.filter(F.transform(ends, lambda end, i: F.when(end, i + 1)), lambda x: x.isNotNull())
+    return rows.withColumn("lines", lines).withColumn("stops", F.array_distinct(F.concat(stops, F.array(F.size(lines)))))
 
 
 def chunks(rows: DataFrame) -> DataFrame:
@@ -60,20 +63,19 @@ def place() -> Column:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, key, no of each chunk to remove."""
-    hashed = chunks(with_chunks(docs)).select(
+    hashed = chunks(with_chunks(keyed(docs))).select(
         "doc_id", "key", "no", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2")
     )
     groups = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first")).where("n > 1")
     met = hashed.join(groups, ["h1", "h2"]).select("doc_id", "key", "no", "h1", "h2", (place() == F.col("first")).alias("is_first"))
     wanted = met.groupBy("doc_id", "key").agg(F.collect_set(F.struct("no", "h1", "h2", "is_first")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "wanted")
-    rows = with_chunks(docs).dropDuplicates(["doc_id", "key"])
-    rows = rows.join(wanted, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    rows = rows.select("doc_id", "key", "lines", "stops", F.explode("wanted").alias("w"))
+    rows = keyed(docs).join(wanted, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    rows = with_chunks(rows).select("doc_id", "key", "lines", "stops", F.explode("wanted").alias("w"))
     begin = F.coalesce(F.get("stops", F.col("w.no") - 1), F.lit(0))
     own = F.array_join(F.slice("lines", begin + 1, F.get("stops", F.col("w.no")) - begin), "\n")
     texts = saved(rows.select("doc_id", "key", "w.no", "w.h1", "w.h2", "w.is_first", own.alias("chunk")), "line-chunks")
-    firsts = texts.where("is_first").select("h1", "h2", F.col("chunk").alias("first_chunk"))
+    firsts = texts.where("is_first").select("h1", "h2", F.col("chunk").alias("first_chunk")).dropDuplicates(["h1", "h2"])
     return texts.where("not is_first").join(firsts, ["h1", "h2"]).where("chunk = first_chunk").select("doc_id", "key", "no")
 
 
@@ -81,18 +83,25 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_removed of every row of docs."""
     marks = repeated(docs).groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
     marks = marks.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "gone")
-    rows = with_chunks(docs).withColumn("is_null", F.lit(False))
-    rows = rows.join(marks, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    left = F.expr(
-        "flatten(transform(filter(sequence(0, size(stops) - 1), i -> not array_contains(gone, i)),"
-        " i -> slice(lines, coalesce(get(stops, i - 1), 0) + 1, get(stops, i) - coalesce(get(stops, i - 1), 0))))"
+    rows = keyed(docs).join(marks, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = with_chunks(rows.select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
+    begins = F.concat(F.array(F.lit(0)), F.col("stops"))
+    spans = F.transform(F.arrays_zip(begins.alias("a"), F.col("stops").alias("b")), lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("no")))
+    left = F.flatten(
+        F.transform(
+            F.filter("spans", lambda x: x["b"].isNotNull() & ~F.array_contains("gone", x["no"])),
+            lambda x: F.slice("lines", x["a"] + 1, x["b"] - x["a"]),
+        )
     )
-    rows = rows.select("doc_id", "key", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left).alias("left"))
-    return rows.select(
+    # exploding one row to one row keeps the arrays from being put into the lambdas above
+    own = F.struct(F.col("text").isNull().alias("is_null"), "lines", "gone", spans.alias("spans"))
+    cut = rows.select("doc_id", F.explode(F.array(own)).alias("own")).select("doc_id", "own.*")
+    cut = cut.select("doc_id", "is_null", F.size("lines").alias("n"), left.alias("left"))
+    return cut.select(
         "doc_id",
-        F.when(F.col("key") == F.xxhash64(F.lit(None).cast("string")), F.lit(None)).otherwise(F.array_join("left", "\n")).alias("text"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
+        F.when(~F.col("is_null"), F.array_join("left", "\n")).alias("text"),
+        F.col("n").cast("long").alias("n_lines"),
+        (F.col("n") - F.size("left")).cast("long").alias("n_removed"),
     )
 
 
