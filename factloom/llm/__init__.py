@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .bpe import op4_bpe_trie
     from .decontaminate import op6_decontaminate
+    from .html_extract import op2_html_text
     from .jaccard import op9_jaccard_join
     from .linededup import op10_line_chunks
     from .quality import op8_quality_llr
     from .sharding import op1_hilbert_shards
     from .substrings import op7_substring_fm
+    from .toxicity import op5_toxicity_mil
     from .warc import op3_warc_zstd
 
-    found = (op1_hilbert_shards, op3_warc_zstd, op4_bpe_trie, op6_decontaminate, op7_substring_fm, op8_quality_llr, op9_jaccard_join, op10_line_chunks)
+    found = (op1_hilbert_shards, op2_html_text, op3_warc_zstd, op4_bpe_trie, op5_toxicity_mil, op6_decontaminate)
+    found += (op7_substring_fm, op8_quality_llr, op9_jaccard_join, op10_line_chunks)
     return {f.__name__: f for f in found}
 
 

@@ -6,12 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: bounds what a Python worker holds of long texts.
 BATCH_ROWS = 1024
@@ -78,6 +80,32 @@ def mask_of(chars: bytes) -> np.ndarray:
     return mask
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text as `texts_of` gives them, and all other columns in a struct `rest`, safe from clashes."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
+
+
+def restored(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns of the table that was `carried`, and more."""
+    return df.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns), *more)
+
+
+def map_texts(docs: DataFrame, function: Callable, ddl: str, keep_rows: bool) -> DataFrame:
+    """Map batches of (doc_id, text) by a function of one batch each; with keep_rows, text and rest stay beside."""
+    if not keep_rows:
+        return texts_of(docs).mapInArrow(function, ddl)
+    rows = carried(docs)
+    schema = T.StructType.fromDDL(ddl).add("text", "string").add("rest", rows.schema["rest"].dataType)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in function(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(1), batch.column(2)], names=[*out.schema.names, "text", "rest"])
+
+    return rows.mapInArrow(both, schema)
+
+
 class Texts:
     """The words of a batch of texts, found and hashed over its raw UTF-8 bytes at once.
 

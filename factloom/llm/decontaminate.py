@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, gram_hashes, lowest, small_batches, table, texts_of
+from .common import Texts, gram_hashes, lowest, map_texts, small_batches, table
 
 WINDOW, GRAM = 10, 5
 #: Bytes of item text that one task holds at a time.
@@ -144,11 +144,11 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Br
     return blocks
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: its counts, the word spans hit and the items met."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool = False) -> DataFrame:
+    """One row per row of docs: its counts, the word spans hit and the items met (keep_rows: and its text and rest)."""
     small_batches(docs.sparkSession)
     blocks = item_blocks(benchmark, block_bytes)
-    return texts_of(docs).mapInArrow(lambda it: scanned(it, blocks), HITS)
+    return map_texts(docs, lambda it: scanned(it, blocks), HITS, keep_rows)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

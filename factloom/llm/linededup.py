@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import carried, saved, table
 
 DIVISOR = 3
 MIN_LINES = 2
@@ -80,11 +80,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what is left), n_lines, n_removed of every row of docs."""
+    """doc_id, text (what is left), n_lines, n_removed of every row of docs, and its other columns in `rest`."""
     marks = repeated(docs).groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
     marks = marks.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "gone")
-    rows = keyed(docs).join(marks, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    rows = with_chunks(rows.select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
+    rows = carried(docs).withColumn("key", F.xxhash64("text")).join(marks, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = with_chunks(rows.select("doc_id", "text", "rest", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
     begins = F.concat(F.array(F.lit(0)), F.col("stops"))
     spans = F.transform(F.arrays_zip(begins.alias("a"), F.col("stops").alias("b")), lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("no")))
     left = F.flatten(
@@ -95,13 +95,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
     # exploding one row to one row keeps the arrays from being put into the lambdas above
     own = F.struct(F.col("text").isNull().alias("is_null"), "lines", "gone", spans.alias("spans"))
-    cut = rows.select("doc_id", F.explode(F.array(own)).alias("own")).select("doc_id", "own.*")
-    cut = cut.select("doc_id", "is_null", F.size("lines").alias("n"), left.alias("left"))
+    cut = rows.select("doc_id", "rest", F.explode(F.array(own)).alias("own")).select("doc_id", "rest", "own.*")
+    cut = cut.select("doc_id", "rest", "is_null", F.size("lines").alias("n"), left.alias("left"))
     return cut.select(
         "doc_id",
         F.when(~F.col("is_null"), F.array_join("left", "\n")).alias("text"),
         F.col("n").cast("long").alias("n_lines"),
         (F.col("n") - F.size("left")).cast("long").alias("n_removed"),
+        "rest",
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, gram_hashes, mask_of, mix, small_batches, table, texts_of
+from .common import Texts, gram_hashes, map_texts, mask_of, mix, small_batches, table, texts_of
 
 BUCKETS = 1 << 14
 #: At most so many trusted ids fit the target model (8 bytes each on an executor); taken by hash order.
@@ -134,12 +134,12 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and kept of every row of docs."""
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_rows: bool = False) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and kept of every row of docs (keep_rows: and its text and rest)."""
     spark = docs.sparkSession
     small_batches(spark)
     ratio = spark.sparkContext.broadcast(log_ratio(docs, labels))
-    return texts_of(docs).mapInArrow(lambda it: scored(it, ratio.value, threshold), SCORES)
+    return map_texts(docs, lambda it: scored(it, ratio.value, threshold), SCORES, keep_rows)
 
 
 def op8_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,8 +180,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(html, 256).alias("digest"))
     long = rows.where(F.octet_length("html") >= MIN_REVISIT)
     again = long.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
-    sample = rows.select("digest", F.substring("html", 1, SAMPLE_BYTES).alias("html")).where("html <> ''")
-    sample = sample.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLES).collect()
+    chosen = rows.where("html <> ''").select("digest").orderBy(F.xxhash64("digest"), "digest").limit(SAMPLES).collect()
+    sample = rows.where(F.col("digest").isin([r.digest for r in chosen])).groupBy("digest").agg(F.first(F.substring("html", 1, SAMPLE_BYTES)).alias("html"))
+    sample = sample.orderBy("digest").collect()
     words = spark.sparkContext.broadcast(trained([r.html.encode()[:SAMPLE_BYTES] for r in sample]))
     joined = rows.join(again, "digest", "left")
     return saved(joined.mapInArrow(lambda it: packed(it, words.value), "archive string, content binary"), "warc")
