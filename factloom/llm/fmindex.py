@@ -41,7 +41,10 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a text of symbols 0..sigma-1 that answers patterns of up to `depth` symbols."""
+    """Index of a text of symbols 0..sigma-1 for patterns of up to `depth` symbols.
+
+    The text ends with a 0 and no pattern holds one, so no match runs over the text's end.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
         self.suffixes = sorted_suffixes(text, depth + 1).astype(np.int32)

@@ -1,12 +1,12 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Two multinomials over hashed word unigrams and bigrams are counted: one over every document (raw),
-one over the documents that `labels` marks as trusted (quality = 1). A document's score is the mean
-over its n-grams of log p_target - log p_raw; it is kept when the score reaches `threshold` and the
+Two multinomials over hashed n-grams of NGRAM bytes are counted: one over every document (raw), one
+over the documents that `labels` marks as trusted (quality = 1). A document's score is the mean over
+its n-grams of log p_target - log p_raw; it is kept when the score reaches `threshold` and the
 base rules hold. The verdict depends on the tables alone: no sampling, no randomness.
 
-Defined results: a null text has no words; a document without words scores 0 and fails the base
-rules; repeated rows are counted and judged like any other row; an empty table gives no rows.
+Defined results: a null text has no words; a document shorter than an n-gram scores 0; one
+without words fails the base rules; repeated rows are counted and judged like any other row; an empty table gives no rows.
 Null doc_ids are kept and never count as trusted.
 """
 
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Texts, gram_hashes, map_texts, mask_of, mix, small_batches, table, texts_of
 
-BUCKETS = 1 << 14
+NGRAM, BITS = 3, 14
+BUCKETS = 1 << BITS
 #: At most so many trusted ids fit the target model (8 bytes each on an executor); taken by hash order.
 MAX_TRUSTED = 1_000_000
-THRESHOLD = -0.05
+THRESHOLD = -0.7
 SYMBOLS = mask_of(b"#*$%&|<>")
 CONTINUATION = mask_of(bytes(range(0x80, 0xC0)))
 MIN_WORDS = 50
@@ -37,23 +38,27 @@ SCORES = (
 )
 
 
-def gram_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every unigram and bigram."""
-    h, owner = texts.hashes(), texts.owner()
-    same = owner[1:] == owner[:-1]
-    both = mix(h[:-1][same] * np.uint64(0x9E3779B97F4A7C15) + h[1:][same])
-    return (np.concatenate([h, both]) >> np.uint64(50)).astype(np.int64), np.concatenate([owner, owner[:-1][same]])
+def gram_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the n-gram at every byte of the batch, and the range of those inside each text."""
+    data = texts.data.astype(np.uint32)
+    n = max(0, len(data) - NGRAM + 1)
+    key = np.zeros(n, np.uint32)
+    for i in range(NGRAM):
+        key = (key << np.uint32(8)) | data[i : n + i]
+    begins = np.minimum(texts.offsets[:-1], n)
+    return (key * np.uint32(2654435761)) >> np.uint32(32 - BITS), begins, np.maximum(begins, texts.offsets[1:] - NGRAM + 1)
 
 
 def counted(batches: Iterator[pa.RecordBatch], trusted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per task, the n-gram counts of all texts and of the trusted ones."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        buckets, owner = gram_buckets(Texts(batch.column(1)))
-        raw += np.bincount(buckets, minlength=BUCKETS)
+        buckets, begins, ends = gram_buckets(Texts(batch.column(1)))
         ids = batch.column(0)
         good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
-        target += np.bincount(buckets[good[owner]], minlength=BUCKETS)
+        for total, own in ((raw, np.ones(len(ids), bool)), (target, good)):
+            edges = np.bincount(begins[own], minlength=len(buckets) + 1) - np.bincount(ends[own], minlength=len(buckets) + 1)
+            total += np.bincount(buckets[np.cumsum(edges[:-1]) > 0], minlength=BUCKETS)
     full = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays(
         [pa.array(full.astype(np.int32)), pa.array(raw[full]), pa.array(target[full])], names=["bucket", "raw", "target"]
@@ -106,9 +111,9 @@ def base_rules(column: pa.Array, texts: Texts) -> dict[str, np.ndarray]:
 def scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = Texts(batch.column(1))
-        buckets, owner = gram_buckets(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        score = np.bincount(owner, weights=ratio[buckets], minlength=len(texts)) / np.maximum(n, 1)
+        buckets, begins, ends = gram_buckets(texts)
+        total = np.concatenate([[0.0], np.cumsum(ratio[buckets])])
+        score = (total[ends] - total[begins]) / np.maximum(ends - begins, 1)
         out = base_rules(batch.column(1), texts)
         out |= {"score": score, "kept": ~out["base_failed"] & (score >= threshold)}
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], names=["doc_id", *out])

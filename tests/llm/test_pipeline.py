@@ -15,8 +15,8 @@ from .docs import SCHEMA, awkward, empty
 def folder(spark, tmp_path, docs):
     path = str(tmp_path / "sf")
     docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
-    text = next(r.text for r in docs.collect() if r.text and len(r.text.split()) > 70) if docs.count() else "a b"
-    spark.createDataFrame([(1, " ".join(text.split()[5:40]))], "item_id long, text string").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    texts = [r.text for r in docs.collect() if r.text and len(r.text.split()) > 70][::4]
+    spark.createDataFrame([(i, " ".join(t.split()[20:40])) for i, t in enumerate(texts)], "item_id long, text string").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
     marks = [(r.doc_id, 1, 0) for r in docs.collect() if r.doc_id is not None and r.doc_id % 3 == 0]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
     return path

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from factloom.llm.common import Texts
-from factloom.llm.quality import BUCKETS, base_rules, gram_buckets, log_ratio, quality
+from factloom.llm.quality import BITS, BUCKETS, NGRAM, base_rules, log_ratio, quality
 
 from .docs import awkward, empty
 
@@ -41,7 +41,9 @@ def test_scores_match_brute_force(spark):
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     grams = {}
     for i, r in enumerate(docs.collect()):
-        buckets, _ = gram_buckets(Texts(pa.array([r.text])))
+        data = (r.text or "").encode()
+        keys = [int.from_bytes(data[j : j + NGRAM], "big") for j in range(len(data) - NGRAM + 1)]
+        buckets = np.array([(k * 2654435761 % (1 << 32)) >> (32 - BITS) for k in keys], int)
         grams[i] = buckets
         np.add.at(raw, buckets, 1)
         if r.doc_id in trusted:

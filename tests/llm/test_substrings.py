@@ -60,10 +60,9 @@ def test_matches_brute_force(spark, monkeypatch, hot, hot_all, flush):
 
 def test_backward_search_counts_and_places():
     rng = np.random.default_rng(2)
-    text = rng.integers(1, 5, 400)
-    text[rng.integers(0, 400, 20)] = 0
+    text = np.append(rng.integers(1, 5, 399), 0)
     index = FMIndex(text, 12)
-    ends = np.arange(1, 401)
+    ends = np.arange(1, 400)
     for least in (1, 2):
         length, low, high = index.statistics(ends, text, 12, least)
         for e, n, a, b in zip(ends, length, low, high, strict=True):
