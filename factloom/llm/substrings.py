@@ -3,7 +3,7 @@
 A word is removed if a window of WINDOW words covers it whose word sequence also starts earlier
 (smaller doc_id, or earlier in the document).
 
-Shards. The least of the 16 five-word hashes in a window is its anchor, so copies of a window have
+Shards. The least of the 14 seven-word hashes in a window is its anchor, so copies of a window have
 copies of the anchor; windows of one document that choose the same anchor place are one segment. A
 segment travels as numbers (anchor, digest, place): equal segments are settled by their least place
 (within a task first, then across tasks), and only segments whose anchor also has different
@@ -38,7 +38,7 @@ from . import packed
 from .common import Texts, gram_hashes, mix, saved, small_batches, table, texts_of
 from .fmindex import FMIndex
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 7
 SPAN = WINDOW - GRAM + 1
 HOT, HOT_ALL = 256, 4096
 #: Segments a task gathers before it sends them on.
@@ -51,7 +51,7 @@ SEGMENTS = {"a": "<u8", "g": "<u8", "d": "<i8", "s": "<i4", "l": "<u1", "nd": "<
 NOTES = "d long, s binary, l binary, k binary, a binary"
 FOUND = (
     "doc_id long, d long, n_words long, done boolean, n_removed long, kept_sha256 string, text string, gone binary, "
-    "a binary, s binary, l binary, w binary"
+    "a binary, s binary, l binary"
 )
 WORDS = {"d": "<i8", "s": "<i4", "l": "<u1", "w": "<u8"}
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -249,13 +249,12 @@ def looked(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.Re
             n = int(texts.first[i + 1] - texts.first[i])
             if look[i] and len(look[i][0]):
                 a, s, length = look[i]
-                where = np.repeat(s - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
-                rows.append((doc_id, key, n, False, None, None, text.decode(), np.packbits(gone[i]).tobytes(), a.astype("<u8").tobytes(), s.astype("<i4").tobytes(), length.astype("<u1").tobytes(), h[texts.first[i] + where].tobytes()))
+                rows.append((doc_id, key, n, False, None, None, text.decode(), np.packbits(gone[i]).tobytes(), a.astype("<u8").tobytes(), s.astype("<i4").tobytes(), length.astype("<u1").tobytes()))
             else:
                 kept = kept_words(text or b"", gone[i])
                 removed = 0 if gone[i] is None else int(gone[i].sum())
-                rows.append((doc_id, key, n, True, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if texts_too else None, None, None, None, None, None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * 5]
+                rows.append((doc_id, key, n, True, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if texts_too else None, None, None, None, None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * 4]
         names = [c.split()[0] for c in FOUND.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -264,17 +263,17 @@ def to_shards(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     """Segments with their words, by shard; rows of a batch are packed together."""
     for batch in batches:
         parts: dict[int, dict[str, list[bytes]]] = {}
-        for d, a, s, length, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        texts = Texts(batch.column(1))
+        h = texts.hashes()
+        for first, d, a, s, length in zip(texts.first.tolist(), *(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=False):
             shard = (np.frombuffer(a, "<u8") % np.uint64(n)).astype(np.int64)
             s, length = np.frombuffer(s, "<i4"), np.frombuffer(length, "<u1")
-            ends = np.cumsum(length.astype(np.int64))
-            words = np.frombuffer(w, "<u8")
             for j, b in enumerate(shard.tolist()):
                 own = parts.setdefault(b, {k: [] for k in WORDS})
                 own["d"].append(int(d).to_bytes(8, "little", signed=True))
                 own["s"].append(s[j : j + 1].tobytes())
                 own["l"].append(length[j : j + 1].tobytes())
-                own["w"].append(words[ends[j] - length[j] : ends[j]].tobytes())
+                own["w"].append(h[first + s[j] : first + s[j] + length[j]].tobytes())
         if parts:
             arrays = [pa.array(list(parts), pa.int32()), *(pa.array([b"".join(p[k]) for p in parts.values()], pa.binary()) for k in WORDS)]
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", *WORDS])
@@ -341,7 +340,7 @@ def substring_dedup(docs: DataFrame, texts_too: bool = True) -> DataFrame:
     joined = keyed.join(by_document(notes), "d", "left").select("doc_id", "d", "text", "notes")
     found = saved(joined.mapInArrow(lambda it: looked(it, texts_too), FOUND), "substrings")
     waiting = found.where("not done")
-    shards = packed.dealt(waiting.select("d", "a", "s", "l", "w").mapInArrow(lambda it: to_shards(it, n), packed.schema(WORDS)))
+    shards = packed.dealt(waiting.select("d", "text", "a", "s", "l").mapInArrow(lambda it: to_shards(it, n), packed.schema(WORDS)))
     answers = shards.mapInArrow(searched, NOTES)
     rest = waiting.select("doc_id", "d", "n_words", "text", "gone").join(by_document(answers), "d", "left")
     rest = rest.select("doc_id", "n_words", "text", "gone", "notes").mapInArrow(lambda it: finished(it, texts_too), RESULT)
