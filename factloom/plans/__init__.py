@@ -1 +1 @@
-"""Part of factloom; see README.md."""
+"""Composed programs: rendered inputs, registered queries and the ingest pipeline."""
