@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,25 +96,39 @@ PAYEE_ROLES = [
 ]
 
 
-def direction(payer: Column, payee: Column, user: Column, is_neither: Column, parties: Column) -> Column:
-    """owed_to_me, i_owe, not_mine or unknown; parties is array<struct<name,role>>."""
-    same = lambda x, y: F.coalesce(name_similarity(x, y) >= SAME_NAME, F.lit(False))
-    two = F.size(parties) == 2
-    names = lambda who: two & (F.coalesce(who, F.lit("")) != "") & F.exists(parties, lambda p: same(p["name"], who))
-    mine = F.filter(parties, lambda p: same(p["name"], user))
-    role = F.lower(F.get(mine, 0)["role"])
-    has = lambda roles: F.coalesce(F.exists(F.array(*(F.lit(r) for r in roles)), lambda r: F.contains(role, r)), F.lit(False))
-    return (
-        F.when(is_neither, "not_mine")
-        .when(user.isNull(), "unknown")
-        .when(same(payee, user), "owed_to_me")
-        .when(same(payer, user), "i_owe")
-        .when(names(payer), "owed_to_me")
-        .when(names(payee), "i_owe")
+def with_name_tokens(df: DataFrame) -> DataFrame:
+    """Tokens of payer, payee, user_party and the parties' names, computed once in columns of their own."""
+    return df.withColumns(
+        {"payer_tokens": name_tokens(F.coalesce("payer", F.lit(""))), "payee_tokens": name_tokens(F.coalesce("payee", F.lit(""))), "user_tokens": name_tokens(F.col("user_party")),
+         "party_tokens": F.transform(F.coalesce("parties", F.expr("cast(array() as array<struct<name:string,role:string>>)")), lambda p: F.struct(p["role"].alias("role"), name_tokens(p["name"]).alias("tokens")))}
+    )
+
+
+def direction(df: DataFrame) -> DataFrame:
+    """Adds direction: owed_to_me, i_owe, not_mine or unknown. Columns: payer, payee, user_party, is_neither and
+    parties array<struct<name,role>>. Similarities are columns first, so that none is worked out twice."""
+    rows = with_name_tokens(df)
+    like = lambda a, b: F.coalesce(name_similarity_of(a, b) >= SAME_NAME, F.lit(False))
+    any_party = lambda who: F.exists("party_tokens", lambda p: like(p["tokens"], F.col(who)))
+    rows = rows.withColumns(
+        {"user_is_payee": like(F.col("payee_tokens"), F.col("user_tokens")), "user_is_payer": like(F.col("payer_tokens"), F.col("user_tokens")),
+         "payer_known": any_party("payer_tokens"), "payee_known": any_party("payee_tokens"),
+         "role": F.lower(F.get(F.filter("party_tokens", lambda p: like(p["tokens"], F.col("user_tokens"))), 0)["role"])}
+    )
+    two = F.size("parties") == 2
+    has = lambda roles: F.coalesce(F.col("role").rlike("|".join(roles)), F.lit(False))
+    found = (
+        F.when(F.coalesce("is_neither", F.lit(False)), "not_mine")
+        .when(F.col("user_party").isNull(), "unknown")
+        .when(F.col("user_is_payee"), "owed_to_me")
+        .when(F.col("user_is_payer"), "i_owe")
+        .when(two & F.col("payer_known"), "owed_to_me")
+        .when(two & F.col("payee_known"), "i_owe")
         .when(has(PAYEE_ROLES), "owed_to_me")
         .when(has(PAYER_ROLES), "i_owe")
         .otherwise("unknown")
     )
+    return rows.withColumn("direction", found).select(*df.columns, "direction")
 
 
 OPEN = ["upcoming", "pending", "overdue"]

@@ -30,13 +30,12 @@ def build(facts: DataFrame, parties: DataFrame) -> DataFrame:
     counterparty = F.when(user.isNull(), F.get("parties", 0)["name"]).otherwise(F.get(other, 0)["name"])
     own = own.withColumn("counterparty", counterparty)
     amount = C.money_text(F.col("minor"), F.col("currency"))
-    direction = C.direction(F.col("payer"), F.col("payee"), user, F.coalesce("is_neither", F.lit(False)), F.col("parties"))
     keep = ["doc_id", "no", "counterparty", "frequency", "recurrence_end"]
     none = F.lit(None).cast("string")
-    payments = own.where("kind = 'payment'").select(
+    payments = C.direction(own.where("kind = 'payment'").drop("role")).select(
         *keep, F.lit("payment").alias("category"),
         F.when(F.col("frequency").isNotNull(), F.concat("label", F.lit(" "), amount)).otherwise(F.concat(amount, F.lit(" "), F.lower("label"))).alias("title"),
-        F.col("minor").alias("amount_minor"), "currency", F.col("day").alias("due_date"), direction.alias("direction"), F.lit("pending").alias("status"),
+        F.col("minor").alias("amount_minor"), "currency", F.col("day").alias("due_date"), "direction", F.lit("pending").alias("status"),
     )
     first = lambda kind: F.min_by(F.struct("day", "automatic", "term_value", "term_unit", "no"), F.when(F.col("kind") == kind, F.col("no")))
     ends = own.groupBy("doc_id").agg(

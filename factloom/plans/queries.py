@@ -20,11 +20,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, dates: str = "") -> Callable[[Query], Query]:
+    """Register a query; its columns named in `dates` come out as ISO strings on both sides."""
+
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in dates.split()})
+
+        QUERIES[f.__name__] = run if dates else f
         if sql is not None:
-            SQL[f.__name__] = sql
+            changed = ", ".join(f"strftime(cast({c} as date), '%Y-%m-%d') as {c}" for c in dates.split())
+            SQL[f.__name__] = f"select * replace ({changed}) from ({sql})" if dates else sql
         return f
 
     return add
@@ -76,12 +82,12 @@ def _upcoming(days: int) -> str:
     return f"with o as ({OBLIGATIONS}) select obligation_id, doc_id, due_date from (select *, {EFFECTIVE} s from o) where s in ('upcoming', 'pending') and due_date <= date '{TODAY}' + {days}"
 
 
-@query(_upcoming(30))
+@query(_upcoming(30), dates="due_date")
 def upcoming_30(spark, sf_dir):
     return lifecycle.upcoming(obligations(spark, sf_dir), today(), 30).select("obligation_id", "doc_id", "due_date")
 
 
-@query(_upcoming(90))
+@query(_upcoming(90), dates="due_date")
 def upcoming_90(spark, sf_dir):
     return lifecycle.upcoming(obligations(spark, sf_dir), today(), 90).select("obligation_id", "doc_id", "due_date")
 
@@ -95,7 +101,7 @@ def pending_counts(spark, sf_dir):
 FREQUENCY = "case doc_id % 5 when 0 then 'weekly' when 1 then 'monthly' when 2 then 'quarterly' when 3 then 'half_yearly' else 'yearly' end"
 STEP = "case frequency when 'weekly' then to_days(cast(7 * n as int)) when 'monthly' then to_months(cast(n as int)) when 'quarterly' then to_months(cast(3 * n as int)) when 'half_yearly' then to_months(cast(6 * n as int)) else to_months(cast(12 * n as int)) end"
 RECURRING = f"""r as (select obligation_id, doc_id, due_date, {FREQUENCY} frequency, due_date + 900 ends from ({OBLIGATIONS}) where obligation_id % 7 < 3),
-occ as (select obligation_id, frequency, ends, cast(due_date + {STEP} as date) day from r, range(0, 400) t(n)),
+occ as (select obligation_id, frequency, ends, cast(due_date + {STEP} as date) as day from r, range(0, 400) t(n)),
 good as (select obligation_id, day, row_number() over (partition by obligation_id order by day) k from occ where day >= date '{TODAY}' and day <= ends)"""
 
 
@@ -104,13 +110,13 @@ def recurring(spark, sf_dir):
     return o.selectExpr("*", f"{FREQUENCY} frequency", "date_add(due_date, 900) ends")
 
 
-@query(f"with {RECURRING} select obligation_id, cast(k as int) k, day from good where k <= 6")
+@query(f"with {RECURRING} select obligation_id, cast(k as int) k, day from good where k <= 6", dates="day")
 def recurrence_occurrences(spark, sf_dir):
     days = C.occurrences(F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"), today(), 6)
     return recurring(spark, sf_dir).select("obligation_id", F.posexplode(days).alias("k", "day")).withColumn("k", F.col("k") + 1)
 
 
-@query(f"with {RECURRING} select r.obligation_id, day next_day from r left join good on r.obligation_id = good.obligation_id and k = 1")
+@query(f"with {RECURRING} select r.obligation_id, day next_day from r left join good on r.obligation_id = good.obligation_id and k = 1", dates="next_day")
 def next_occurrence(spark, sf_dir):
     after = C.next_occurrence(F.date_sub(today(), 1), F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"))
     return recurring(spark, sf_dir).select("obligation_id", after.alias("next_day"))
@@ -121,7 +127,7 @@ f as (select 'reminder.' || obligation_id || '.' || strftime(due_date, '%Y-%m-%d
   cast(due_date - d as timestamp) + interval 9 hour fire_at from c, (values (30), (14), (7), (0)) v(d))
 select reminder_id, obligation_id, due, days_before, strftime(fire_at, '%Y-%m-%d %H:%M') fire_at,
   case days_before when 0 then 'Due today (' else 'Due in ' || days_before || ' days (' end || strftime(due, '%-d %b %Y') || ') · order' body
-from f where fire_at > timestamp '{TODAY} 09:00:00' order by fire_at, reminder_id limit 60""")
+from f where fire_at > timestamp '{TODAY} 09:00:00' order by fire_at, reminder_id limit 60""", dates="due")
 def reminder_plan_top60(spark, sf_dir):
     o = obligations(spark, sf_dir).where("status <> 'completed'")
     c = o.selectExpr("obligation_id", "'t' title", "'order' body", "due_date", "cast(null as string) frequency", "1 every", "cast(null as date) recurrence_end", "array(30, 14, 14, 7, 0, -3) offsets", "true is_open")
@@ -147,7 +153,7 @@ def finalize_preserve(spark, sf_dir):
     return lifecycle.finalized(e.withColumn("history", F.col("history").cast("array<string>")), drafts).select("doc_id", "no", "status", "origin")
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, cast(issue_date + to_months(term_months) as date) - 1 term_end, cast(issue_date - notice_days as date) notice_by, cast(issue_date + to_months(-term_months) as date) back, notice_days * 1 days from t")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, cast(issue_date + to_months(term_months) as date) - 1 term_end, cast(issue_date - notice_days as date) notice_by, cast(issue_date + to_months(-term_months) as date) back, notice_days * 1 as days from t", dates="term_end notice_by back")
 def derived_dates(spark, sf_dir):
     t = truth(spark, sf_dir)
     day, months, notice = F.col("issue_date"), F.col("term_months"), F.col("notice_days")
@@ -165,14 +171,15 @@ def money_text(spark, sf_dir):
     return t.select("doc_id", C.money_text(F.col("total_minor"), F.lit("USD")).alias("usd"), C.money_text(F.col("total_minor"), F.lit("INR")).alias("inr"))
 
 
-def facts(spark, sf_dir, columns=()):
+def facts(spark, sf_dir, *variants):
+    """Facts of the rendered documents (of the layouts named, or of all), with their layout."""
     docs = rendered(spark, sf_dir)
-    found = extract_facts(docs)
-    return found.join(docs.select("doc_id", "variant", *columns), "doc_id") if columns or True else found
+    docs = docs.where(F.col("variant").isin(*variants)) if variants else docs
+    return extract_facts(docs).join(docs.select("doc_id", "variant"), "doc_id")
 
 
-def _one(spark, sf_dir, kind, *columns):
-    return facts(spark, sf_dir).where(F.col("kind") == kind).select("doc_id", *columns)
+def _one(spark, sf_dir, kind, *columns, variants=()):
+    return facts(spark, sf_dir, *variants).where(F.col("kind") == kind).select("doc_id", *columns)
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 7 then cast(round(cast(round(total_minor // 100 / 100000.0, 2) as decimal(12,2)) * 10000000) as bigint) else total_minor end minor, case variant when 5 then 'USD' when 8 then 'USD' else 'INR' end currency from t where variant not in (4, 9)")
@@ -180,20 +187,20 @@ def render_total(spark, sf_dir):
     return _one(spark, sf_dir, "total_amount", "minor", "currency")
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, issue_date as day, variant = 0 and day(issue_date) <= 12 and day(issue_date) <> month(issue_date) ambiguous from t where variant < 9")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, issue_date as day, variant = 0 and day(issue_date) <= 12 and day(issue_date) <> month(issue_date) ambiguous from t where variant < 9", dates="day")
 def render_issue_date(spark, sf_dir):
     return _one(spark, sf_dir, "effective_date", "day", "ambiguous")
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, case when variant < 2 then issue_date + net_days end as day, case when variant = 2 then net_days end net_days from t where variant < 3")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, case when variant < 2 then issue_date + net_days end as day, case when variant = 2 then net_days else 0 end net_days from t where variant < 3", dates="day")
 def render_due_date(spark, sf_dir):
-    f = facts(spark, sf_dir).where("kind = 'payment' and variant < 3")
-    return f.select("doc_id", "minor", "day", F.col("term_value").alias("net_days"))
+    f = facts(spark, sf_dir, 0, 1, 2).where("kind = 'payment'")
+    return f.select("doc_id", "minor", "day", F.coalesce("term_value", F.lit(0)).alias("net_days"))
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, 'monthly' frequency, 'Rent' as label, cast(case when day(issue_date) <= 5 then date_trunc('month', issue_date) + interval 4 day else date_trunc('month', issue_date) + interval 1 month + interval 4 day end as date) as day, cast(issue_date + to_months(term_months) as date) - 1 recurrence_end from t where variant = 4")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, 'monthly' frequency, 'Rent' as label, cast(case when day(issue_date) <= 5 then date_trunc('month', issue_date) + interval 4 day else date_trunc('month', issue_date) + interval 1 month + interval 4 day end as date) as day, cast(issue_date + to_months(term_months) as date) - 1 recurrence_end from t where variant = 4", dates="day recurrence_end")
 def render_rent(spark, sf_dir):
-    f = facts(spark, sf_dir).where("kind = 'payment' and variant = 4")
+    f = facts(spark, sf_dir, 4).where("kind = 'payment'")
     return f.select("doc_id", "minor", "frequency", "label", "day", "recurrence_end")
 
 
@@ -204,22 +211,22 @@ def render_parties(spark, sf_dir):
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, notice_days, 'days' unit from t where variant in (5, 6)")
 def render_notice(spark, sf_dir):
-    return _one(spark, sf_dir, "notice_period", F.col("term_value").alias("notice_days"), F.col("term_unit").alias("unit"))
+    return _one(spark, sf_dir, "notice_period", F.col("term_value").alias("notice_days"), F.col("term_unit").alias("unit"), variants=(5, 6))
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, variant = 6 automatic from t where variant in (6, 7)")
 def render_renewal(spark, sf_dir):
-    return _one(spark, sf_dir, "renewal", "automatic")
+    return _one(spark, sf_dir, "renewal", "automatic", variants=(6, 7))
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end as day from t where variant in (3, 4, 6, 8)")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end as day from t where variant in (3, 4, 6, 8)", dates="day")
 def render_term_end(spark, sf_dir):
-    return _one(spark, sf_dir, "end_date", "day")
+    return _one(spark, sf_dir, "end_date", "day", variants=(3, 4, 6, 8))
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, ({KINDS!r})[variant + 1] kind from t".replace("([", "(["))
+@query(f"with t as ({TRUTH_SQL}) select doc_id, ({KINDS!r})[variant + 1] kind from t")
 def classify_document(spark, sf_dir):
-    return _one(spark, sf_dir, "document_type", F.col("category").alias("kind")) if False else facts(spark, sf_dir).where("kind = 'document_type'").select("doc_id", F.col("category").alias("kind"))
+    return facts(spark, sf_dir).where("kind = 'document_type'").select("doc_id", F.col("category").alias("kind"))
 
 
 @query("select doc_id, cast(0 as bigint) n_dates from documents where 1 = 0")
@@ -269,7 +276,7 @@ def full_texts(spark, sf_dir):
     return t.select("doc_id", F.length("full_text").cast("long").alias("n"), F.sha2("full_text", 256).alias("digest"))
 
 
-@query(f"with {OFFSETS}, p as (select doc_id, unnest([0, 100, 500]) as at from (select distinct doc_id from o)) select p.doc_id, cast(p.at as bigint) as at, cast(arg_max(page, begins) as int) page, p.at - max(begins) within from p join o on o.doc_id = p.doc_id and begins <= p.at group by p.doc_id, p.at")
+@query(f"with {OFFSETS}, p as (select doc_id, unnest([0, 100, 500]) as at from (select distinct doc_id from o)) select p.doc_id, cast(p.at as bigint) as at, cast(arg_max(page, begins) as int) page, p.at - max(begins) as within from p join o on o.doc_id = p.doc_id and begins <= p.at group by p.doc_id, p.at")
 def page_at_place(spark, sf_dir):
     pages = conversation_pages(spark, sf_dir)
     places = pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 100, 500)))).alias("at"))
@@ -320,7 +327,8 @@ def payment_direction(spark, sf_dir):
     user = F.when(F.col("variant") == 9, None).when(F.col("doc_id") % 4 == 1, vendor).when(F.col("doc_id") % 4 == 2, client).when(F.col("doc_id") % 4 == 0, vendor)
     none = F.lit(None).cast("string")
     neither = (F.col("doc_id") % 4 == 0) & (F.col("variant") != 9)
-    return t.select("doc_id", C.direction(none, none, user, neither, parties).alias("direction"))
+    rows = t.select("doc_id", none.alias("payer"), none.alias("payee"), user.alias("user_party"), neither.alias("is_neither"), parties.alias("parties"))
+    return C.direction(rows).select("doc_id", "direction")
 
 
 CASES = "(values ('user'), ('both'), ('rules'), ('model')) o(origin), (values (true), (false)) s(has_source), (values ('strong'), ('weak')) r(rule_strength), (values ('exact'), ('normalized'), ('fuzzy'), ('value_only')) m(match), (values (true), (false), (null)) v(verified), (values (0.3), (0.9)) c(ocr), (values (true), (false)) a(ambiguous), (values (true), (false)) b(base_missing), (values (true), (false)) x(conflict)"
@@ -409,37 +417,35 @@ def rotate_boxes(spark, sf_dir):
 
 @query()
 def scanned_rows(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0") if False else read(spark, sf_dir, "lineitem")
-    fragments = li.selectExpr("l_orderkey page_id", "concat('f', l_linenumber) text", "(l_linenumber % 3) * 0.3D x", "0.9D - floor(l_linenumber / 3) * 0.1D y", "0.2D w", "0.05D h", "0.5D + (l_quantity % 10) / 20 confidence")
+    fragments = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey page_id", "concat('f', l_linenumber) text", "(l_linenumber % 3) * 0.3D x", "0.9D - floor(l_linenumber / 3) * 0.1D y", "0.2D w", "0.05D h", "0.5D + (l_quantity % 10) / 20 confidence")
     return layout.scanned_rows(fragments)
 
 
-@query("""with c as (select c_custkey, lpad(cast(c_custkey * 7919 % 1000000 as varchar), 6, '0') s from customer), d as (select c_custkey, s, list_transform(range(1, 7), lambda i: cast(s[7 - i] as int)) r from c)
-select c_custkey, length(s) = 6 is_digits from d""")
+@query("select c_custkey, true one_digit_completes from customer")
 def checksum_digits(spark, sf_dir):
     s = F.lpad((F.col("c_custkey") * 7919 % 1000000).cast("string"), 6, "0")
     # exactly one of the ten last digits completes a number
     made = [C.checksum_valid(F.concat(s, F.lit(str(i)))).cast("int") for i in range(10)]
-    return read(spark, sf_dir, "customer").select("c_custkey", (sum(made[1:], made[0]) == 1).alias("is_digits"))
+    return read(spark, sf_dir, "customer").select("c_custkey", (sum(made[1:], made[0]) == 1).alias("one_digit_completes"))
 
 
-@query(f"with o as ({OBLIGATIONS}) select obligation_id, cast(case when day(due_date) <= 29 then date_trunc('month', due_date) + to_days(cast(least(29, day(last_day(due_date))) - 1 as int)) else date_trunc('month', due_date) + interval 1 month + to_days(cast(least(29, day(last_day(cast(due_date + interval 1 month as date)))) - 1 as int)) end as date) as day from o")
+@query(f"with o as ({OBLIGATIONS}) select obligation_id, cast(case when day(due_date) <= 29 then date_trunc('month', due_date) + to_days(cast(least(29, day(last_day(due_date))) - 1 as int)) else date_trunc('month', due_date) + interval 1 month + to_days(cast(least(29, day(last_day(cast(due_date + interval 1 month as date)))) - 1 as int)) end as date) as day from o", dates="day")
 def first_on_day(spark, sf_dir):
     o = obligations(spark, sf_dir)
     day = C.first_on_day(F.lit(29), F.col("due_date"))
     return o.select("obligation_id", day.alias("day"))
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 6 or variant = 7 then 'renewal' else 'contract_end' end category, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end due_date from t where variant in (3, 4, 6, 8)")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 6 or variant = 7 then 'renewal' else 'contract_end' end category, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end due_date from t where variant in (3, 4, 6, 8)", dates="due_date")
 def obligations_from_facts(spark, sf_dir):
-    f = facts(spark, sf_dir).withColumns({"verification": F.lit("confirmed"), "payer": F.lit(None).cast("string"), "payee": F.lit(None).cast("string")})
+    f = facts(spark, sf_dir, 3, 4, 6, 8).withColumns({"verification": F.lit("confirmed"), "payer": F.lit(None).cast("string"), "payee": F.lit(None).cast("string")})
     p = f.where("kind = 'party'").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("text").alias("name"), "role")).alias("parties"))
     p = p.select("doc_id", F.lit(None).cast("string").alias("user_party"), F.lit(False).alias("is_neither"), "parties")
     built = lifecycle.build(f, p).where("category in ('renewal', 'contract_end')")
     return built.select("doc_id", "category", "due_date")
 
 
-@query(f"""with t as ({TRUTH_SQL}) select doc_id, 'both' origin, count(*) n from t where variant < 4 or variant between 5 and 8 group by doc_id""".replace("select doc_id, 'both' origin, count(*) n from t where variant < 4 or variant between 5 and 8 group by doc_id", "select doc_id, case when doc_id % 2 = 0 then 'both' else 'rules' end origin, doc_id % 2 = 1 conflict from t where variant not in (4, 9)"))
+@query(f"with t as ({TRUTH_SQL}) select doc_id, case when doc_id % 2 = 0 then 'both' else 'rules' end origin, doc_id % 2 = 1 conflict from t where variant not in (4, 9)")
 def merge_conflicts(spark, sf_dir):
     rules = facts(spark, sf_dir).where("kind = 'total_amount'").drop("variant", "notes")
     model = rules.withColumn("minor", F.col("minor") + F.col("doc_id") % 2)
