@@ -116,18 +116,23 @@ def resolve_relative(facts: DataFrame) -> DataFrame:
 SINGLE = ["document_type", "title", "effective_date", "end_date", "notice_period", "renewal", "total_amount", "payment_frequency"]
 
 
+def with_words(facts: DataFrame) -> DataFrame:
+    """Word and name tokens as columns, so that no comparison works them out again."""
+    return facts.withColumns({"words": C.tokens(F.col("text")), "names": C.name_tokens(F.col("text"))})
+
+
 def equivalent(a: str, b: str) -> Column:
-    """Whether the values of two facts of one kind (struct columns a and b) say the same."""
+    """Whether the values of two facts of one kind (struct columns a and b, made `with_words`) say the same."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     kind, days = x("kind"), lambda f: C.approximate_days(f("term_value"), f("term_unit"))
-    words, others = C.tokens(x("text")), C.tokens(y("text"))
+    words, others = x("words"), y("words")
     both, any_ = F.size(F.array_intersect(words, others)), F.size(F.array_union(words, others))
     same_day = x("day") == y("day")
     relative = (days(x) == days(y)) & (x("after") == y("after"))
     said = (
         F.when(kind.isin("document_type", "clause"), x("category") == y("category"))
         .when(kind == "title", (F.size(words) > 0) & (both / any_ >= 0.6))
-        .when(kind == "party", C.name_similarity(x("text"), y("text")) >= C.SAME_NAME)
+        .when(kind == "party", C.name_similarity_of(x("names"), y("names")) >= C.SAME_NAME)
         .when(kind.isin("effective_date", "end_date"), F.when(x("day").isNotNull() & y("day").isNotNull(), same_day).otherwise(relative))
         .when(kind == "total_amount", x("minor") == y("minor"))
         .when(kind == "notice_period", days(x) == days(y))
@@ -143,8 +148,8 @@ def equivalent(a: str, b: str) -> Column:
 def merged(rules: DataFrame, model: DataFrame) -> DataFrame:
     """Rule facts first; a model fact joins the first rule fact it agrees with (origin both), else it is added.
     Single-valued kinds left with several values get a conflict mark."""
-    r = rules.select("doc_id", F.struct(*rules.columns).alias("r"))
-    m = model.select("doc_id", F.struct(*model.columns).alias("m"))
+    r = with_words(rules).select("doc_id", F.struct(*rules.columns, "words", "names").alias("r"))
+    m = with_words(model).select("doc_id", F.struct(*model.columns, "words", "names").alias("m"))
     met = r.join(m, (r.doc_id == m.doc_id) & (F.col("r.kind") == F.col("m.kind"))).where(equivalent("r", "m")).select(r.doc_id, "r", "m")
     best = met.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "m.no").orderBy("r.no"))).where("i = 1")
     best = best.withColumn("j", F.row_number().over(Window.partitionBy("doc_id", "r.no").orderBy("m.no"))).where("j = 1")

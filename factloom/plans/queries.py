@@ -447,7 +447,7 @@ def obligations_from_facts(spark, sf_dir):
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, case when doc_id % 2 = 0 then 'both' else 'rules' end origin, doc_id % 2 = 1 conflict from t where variant not in (4, 9)")
 def merge_conflicts(spark, sf_dir):
-    rules = facts(spark, sf_dir).where("kind = 'total_amount'").drop("variant", "notes")
+    rules = facts(spark, sf_dir).where("kind = 'total_amount'").drop("variant", "notes").persist()  # read once, used five times
     model = rules.withColumn("minor", F.col("minor") + F.col("doc_id") % 2)
     out = lifecycle.merged(rules, model).where("origin <> 'model'")
     return out.select("doc_id", "origin", "conflict")
