@@ -385,19 +385,19 @@ def search_index(spark, sf_dir):
 @query(f"""with t as ({TRUTH_SQL}), k as (select doc_id, replace(({KINDS!r})[variant + 1], '_', ' ') || ' order ' || doc_id title, 'maker works ' || issuer || ' buyer house ' || cust || ' pvt ltd' parties from t),
 s as (select doc_id, case when regexp_matches(title, '(^| )invoice( |$)') then 5.0 else 0 end inv, case when regexp_matches(title, '(^| )7') then 5.0 else 0 end + case when regexp_matches(parties, '(^| )7') then 4.0 else 0 end seven,
   case when contains(title, 'invoice 7') or contains(parties, 'invoice 7') then 5.0 else 0 end bonus from k)
-select doc_id, inv + seven + bonus score from s where inv > 0 and seven > 0""")
+select doc_id, cast(inv + seven + bonus as double) score from s where inv > 0 and seven > 0""")
 def search_text(spark, sf_dir):
     index = search_index(spark, sf_dir)
     return S.search(index.withColumn("fields", F.transform("fields", lambda f: F.struct(f["label"].alias("label"), F.lit("x").alias("value"), f["minor"].alias("minor"), f["day"].alias("day")))), "Invoice 7")
 
 
-@query(f"with t as ({TRUTH_SQL}), m as (select min(total_minor // 10000 * 10000) v from t) select doc_id, 14.0 score from t where total_minor = (select total_minor from t where doc_id = (select min(doc_id) from t))")
+@query(f"with t as ({TRUTH_SQL}), m as (select min(total_minor // 10000 * 10000) v from t) select doc_id, cast(14 as double) score from t where total_minor = (select total_minor from t where doc_id = (select min(doc_id) from t))")
 def search_amount(spark, sf_dir):
     first = truth(spark, sf_dir).orderBy("doc_id").select("total_minor").first()[0]
     return S.search(search_index(spark, sf_dir), f"₹{first // 100}.{first % 100:02d}")
 
 
-@query(f"with t as ({TRUTH_SQL}) select doc_id, 4.0 * (cast(month(issue_date) = 9 and year(issue_date) = 1997 as int) + cast(month(issue_date + net_days) = 9 and year(issue_date + net_days) = 1997 as int)) score from t where month(issue_date) = 9 and year(issue_date) = 1997 or month(issue_date + net_days) = 9 and year(issue_date + net_days) = 1997")
+@query(f"with t as ({TRUTH_SQL}) select doc_id, cast(4 as double) * (cast(month(issue_date) = 9 and year(issue_date) = 1997 as int) + cast(month(issue_date + net_days) = 9 and year(issue_date + net_days) = 1997 as int)) score from t where month(issue_date) = 9 and year(issue_date) = 1997 or month(issue_date + net_days) = 9 and year(issue_date + net_days) = 1997")
 def search_month(spark, sf_dir):
     index = search_index(spark, sf_dir).withColumn("title", F.lit("paper"))
     return S.search(index.withColumn("parties", F.array(F.lit("x"))), "Sept 1997")
