@@ -6,6 +6,11 @@ A chunk of at least MIN_LINES lines, one of them not blank, that occurs anywhere
 doc_id, then earlier in the document) is removed once its bytes have been compared with those of
 its first occurrence.
 
+With that rule a chunk may be one line, where two lines in a row hit or the last is left over, and
+such a chunk is never removed. With `whole` a chunk ends only where the hash is divisible and that
+of the line before is not, and never directly before the last line: every chunk of a text of two
+lines or more has at least two, so an exact copy of it leaves nothing but blank chunks.
+
 Steps: hashes of chunks alone are counted (pre-aggregated before the shuffle); texts move once to
 meet the marks of repeated chunks, which are compared byte for byte with the first occurrence, and
 once more to take the verdicts. Joins on the hash of a very frequent chunk are ones that adaptive
@@ -36,7 +41,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def with_chunks(rows: DataFrame) -> DataFrame:
+def with_chunks(rows: DataFrame, whole: bool = False) -> DataFrame:
     """Adds lines, and stops: the line after which each chunk ends.
 
     Each array is used as a whole: inside a lambda the optimizer would put its whole expression, to
@@ -46,12 +51,16 @@ def with_chunks(rows: DataFrame) -> DataFrame:
     marks = F.transform(lines, line_hash)
     ends = F.zip_with(marks, F.concat(F.array(F.lit(None).cast("long")), marks), lambda now, before: (before * 31 + now) % DIVISOR == 0)
     stops = F.filter(F.transform(ends, lambda end, i: F.when(end, i + 1)), lambda x: x.isNotNull())
-    return rows.withColumn("lines", lines).withColumn("stops", F.array_distinct(F.concat(stops, F.array(F.size(lines)))))
+    if whole:
+        rows = rows.withColumn("hits", stops)
+        stops = F.array_remove(F.array_except("hits", F.transform("hits", lambda x: x + 1)), F.size(lines) - 1)
+    return rows.withColumn("lines", lines).withColumn("stops", F.array_distinct(F.concat(stops, F.array(F.size(lines))))).drop("hits")
 
 
 def chunks(rows: DataFrame) -> DataFrame:
     """One row per chunk that may be removed: doc_id, key, no, chunk."""
-    out = rows.select("doc_id", "key", "lines", F.posexplode("stops").alias("no", "stop"), F.col("stops").alias("all_stops"))
+    # outer, though no array is empty: no filter that finds the chunks a second time is inferred
+    out = rows.select("doc_id", "key", "lines", F.posexplode_outer("stops").alias("no", "stop"), F.col("stops").alias("all_stops"))
     begin = F.coalesce(F.get("all_stops", F.col("no") - 1), F.lit(0))
     out = out.select("doc_id", "key", "no", F.slice("lines", begin + 1, F.col("stop") - begin).alias("own")).where(F.size("own") >= MIN_LINES)
     return out.select("doc_id", "key", "no", F.array_join("own", "\n").alias("chunk")).where(F.col("chunk").rlike(r"\S"))
@@ -61,9 +70,9 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "no")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, key, no of each chunk to remove."""
-    hashed = chunks(with_chunks(keyed(docs))).select(
+    hashed = chunks(with_chunks(keyed(docs), whole)).select(
         "doc_id", "key", "no", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2")
     )
     groups = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first")).where("n > 1")
@@ -71,7 +80,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     wanted = met.groupBy("doc_id", "key").agg(F.collect_set(F.struct("no", "h1", "h2", "is_first")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "wanted")
     rows = keyed(docs).join(wanted, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    rows = with_chunks(rows).select("doc_id", "key", "lines", "stops", F.explode("wanted").alias("w"))
+    rows = with_chunks(rows, whole).select("doc_id", "key", "lines", "stops", F.explode("wanted").alias("w"))
     begin = F.coalesce(F.get("stops", F.col("w.no") - 1), F.lit(0))
     own = F.array_join(F.slice("lines", begin + 1, F.get("stops", F.col("w.no")) - begin), "\n")
     texts = saved(rows.select("doc_id", "key", "w.no", "w.h1", "w.h2", "w.is_first", own.alias("chunk")), "line-chunks")
@@ -79,12 +88,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     return texts.where("not is_first").join(firsts, ["h1", "h2"]).where("chunk = first_chunk").select("doc_id", "key", "no")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_removed of every row of docs, and its other columns in `rest`."""
-    marks = repeated(docs).groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
+    marks = repeated(docs, whole).groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
     marks = marks.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "gone")
     rows = carried(docs).withColumn("key", F.xxhash64("text")).join(marks, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    rows = with_chunks(rows.select("doc_id", "text", "rest", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
+    rows = with_chunks(rows.select("doc_id", "text", "rest", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), whole)
     begins = F.concat(F.array(F.lit(0)), F.col("stops"))
     spans = F.transform(F.arrays_zip(begins.alias("a"), F.col("stops").alias("b")), lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("no")))
     left = F.flatten(
@@ -107,7 +116,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    return digests(line_dedup(table(spark, sf_dir, "documents")))
+
+
+def line_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(line_dedup(table(spark, sf_dir, "documents"), whole=True))
+
+
+def digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -124,3 +140,19 @@ select doc_id, sum(n)::bigint n_lines, coalesce(sum(n) filter (gone), 0)::bigint
   sha256(coalesce(string_agg(txt, chr(10) order by k) filter (not gone), '')) kept_sha256
 from g group by doc_id
 """
+
+#: As OP10_SQL, by the rule of `whole`.
+WHOLE_SQL = f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+m as (select doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 12))::bigint) m from d),
+h as (select doc_id, l, list_transform(range(1, len(l) + 1), lambda i: i > 1 and (m[greatest(i - 1, 1)] * 31 + m[i]) % {DIVISOR} = 0) h from m),
+s as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) or (i <> len(l) - 1 and h[i] and not h[greatest(i - 1, 1)])) s from h),
+c as (select doc_id, l, s, unnest(range(1, len(s) + 1)) k from s),
+t as (select doc_id, k, case when k = 1 then 0 else s[k - 1] end a, s[k] b, l from c),
+x as (select doc_id, k, b - a n, array_to_string(l[a + 1:b], chr(10)) txt from t),
+r as (select *, n >= {MIN_LINES} and regexp_matches(txt, '[^ \\t\\n\\x0B\\f\\r]') ok from x),
+g as (select *, ok and row_number() over (partition by ok, txt order by doc_id, k) > 1 gone from r)
+select doc_id, sum(n)::bigint n_lines, coalesce(sum(n) filter (gone), 0)::bigint n_removed,
+  sha256(coalesce(string_agg(txt, chr(10) order by k) filter (not gone), '')) kept_sha256
+from g group by doc_id
+"""
