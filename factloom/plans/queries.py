@@ -105,21 +105,45 @@ occ as (select obligation_id, frequency, ends, cast(due_date + {STEP} as date) a
 good as (select obligation_id, day, row_number() over (partition by obligation_id order by day) k from occ where day >= date '{TODAY}' and day <= ends)"""
 
 
+ALL_RECURRING = RECURRING.replace(" where obligation_id % 7 < 3", "")
+
+
+def all_recurring(spark, sf_dir):
+    return obligations(spark, sf_dir).selectExpr("*", f"{FREQUENCY} frequency", "date_add(due_date, 900) ends")
+
+
 def recurring(spark, sf_dir):
-    o = obligations(spark, sf_dir).where("obligation_id % 7 < 3")
-    return o.selectExpr("*", f"{FREQUENCY} frequency", "date_add(due_date, 900) ends")
+    return all_recurring(spark, sf_dir).where("obligation_id % 7 < 3")
+
+
+def first_six(o):
+    days = C.occurrences(F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"), today(), 6)
+    return o.select("obligation_id", F.posexplode(days).alias("k", "day")).withColumn("k", F.col("k") + 1)
+
+
+def next_day(o):
+    after = C.next_occurrence(F.date_sub(today(), 1), F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"))
+    return o.select("obligation_id", after.alias("next_day"))
 
 
 @query(f"with {RECURRING} select obligation_id, cast(k as int) k, day from good where k <= 6", dates="day")
 def recurrence_occurrences(spark, sf_dir):
-    days = C.occurrences(F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"), today(), 6)
-    return recurring(spark, sf_dir).select("obligation_id", F.posexplode(days).alias("k", "day")).withColumn("k", F.col("k") + 1)
+    return first_six(recurring(spark, sf_dir))
+
+
+@query(f"with {ALL_RECURRING} select obligation_id, cast(k as int) k, day from good where k <= 6", dates="day")
+def recurrence_occurrences_all(spark, sf_dir):
+    return first_six(all_recurring(spark, sf_dir))
 
 
 @query(f"with {RECURRING} select r.obligation_id, day next_day from r left join good on r.obligation_id = good.obligation_id and k = 1", dates="next_day")
 def next_occurrence(spark, sf_dir):
-    after = C.next_occurrence(F.date_sub(today(), 1), F.col("due_date"), F.col("frequency"), F.lit(1), F.col("ends"))
-    return recurring(spark, sf_dir).select("obligation_id", after.alias("next_day"))
+    return next_day(recurring(spark, sf_dir))
+
+
+@query(f"with {ALL_RECURRING} select r.obligation_id, day next_day from r left join good on r.obligation_id = good.obligation_id and k = 1", dates="next_day")
+def next_occurrence_all(spark, sf_dir):
+    return next_day(all_recurring(spark, sf_dir))
 
 
 @query(f"""with o as ({OBLIGATIONS}), c as (select obligation_id, due_date from o where status <> 'completed'),
@@ -171,15 +195,14 @@ def money_text(spark, sf_dir):
     return t.select("doc_id", C.money_text(F.col("total_minor"), F.lit("USD")).alias("usd"), C.money_text(F.col("total_minor"), F.lit("INR")).alias("inr"))
 
 
-def facts(spark, sf_dir, *variants):
-    """Facts of the rendered documents (of the layouts named, or of all), with their layout."""
+def facts(spark, sf_dir):
+    """Facts of the rendered documents, with their layout."""
     docs = rendered(spark, sf_dir)
-    docs = docs.where(F.col("variant").isin(*variants)) if variants else docs
     return extract_facts(docs).join(docs.select("doc_id", "variant"), "doc_id")
 
 
-def _one(spark, sf_dir, kind, *columns, variants=()):
-    return facts(spark, sf_dir, *variants).where(F.col("kind") == kind).select("doc_id", *columns)
+def _one(spark, sf_dir, kind, *columns):
+    return facts(spark, sf_dir).where(F.col("kind") == kind).select("doc_id", *columns)
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 7 then cast(round(cast(round(total_minor // 100 / 100000.0, 2) as decimal(12,2)) * 10000000) as bigint) else total_minor end minor, case variant when 5 then 'USD' when 8 then 'USD' else 'INR' end currency from t where variant not in (4, 9)")
@@ -194,16 +217,23 @@ def render_issue_date(spark, sf_dir):
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, case when variant < 2 then issue_date + net_days end as day, case when variant = 2 then net_days else 0 end net_days from t where variant < 3", dates="day")
 def render_due_date(spark, sf_dir):
-    f = facts(spark, sf_dir, 0, 1, 2).where("kind = 'payment'")
+    f = facts(spark, sf_dir).where("kind = 'payment' and label = 'Invoice payment'")
     return f.select("doc_id", "minor", "day", F.coalesce("term_value", F.lit(0)).alias("net_days"))
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, total_minor minor, 'monthly' frequency, 'Rent' as label, cast(case when day(issue_date) <= 5 then date_trunc('month', issue_date) + interval 4 day else date_trunc('month', issue_date) + interval 1 month + interval 4 day end as date) as day, cast(issue_date + to_months(term_months) as date) - 1 recurrence_end from t where variant = 4", dates="day recurrence_end")
 def render_rent(spark, sf_dir):
-    f = facts(spark, sf_dir, 4).where("kind = 'payment'")
+    f = facts(spark, sf_dir).where("kind = 'payment' and frequency is not null")
     return f.select("doc_id", "minor", "frequency", "label", "day", "recurrence_end")
 
 
+@query(f"""with t as ({TRUTH_SQL}) select doc_id, case variant when 4 then 'Rent' when 8 then 'Quoted amount' else 'Invoice payment' end as label, total_minor minor, case when variant = 4 then 'monthly' end frequency,
+  case variant when 2 then null when 4 then cast(case when day(issue_date) <= 5 then date_trunc('month', issue_date) + interval 4 day else date_trunc('month', issue_date) + interval 1 month + interval 4 day end as date) when 8 then null else issue_date + net_days end as day
+  from t where variant in (0, 1, 2, 4, 8)""", dates="day")
+def render_payments(spark, sf_dir):
+    return _one(spark, sf_dir, "payment", "label", "minor", "frequency", "day")
+
+
 @query(f"""with t as ({TRUTH_SQL}) select doc_id, 'Maker Works ' || issuer as name, 'Vendor' as role from t where variant < 9 union all select doc_id, 'Buyer House ' || cust || ' Pvt Ltd', 'Client' from t where variant < 9""")
 def render_parties(spark, sf_dir):
     return _one(spark, sf_dir, "party", F.col("text").alias("name"), "role")
@@ -211,17 +241,17 @@ def render_parties(spark, sf_dir):
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, notice_days, 'days' unit from t where variant in (5, 6)")
 def render_notice(spark, sf_dir):
-    return _one(spark, sf_dir, "notice_period", F.col("term_value").alias("notice_days"), F.col("term_unit").alias("unit"), variants=(5, 6))
+    return _one(spark, sf_dir, "notice_period", F.col("term_value").alias("notice_days"), F.col("term_unit").alias("unit"))
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, variant = 6 automatic from t where variant in (6, 7)")
 def render_renewal(spark, sf_dir):
-    return _one(spark, sf_dir, "renewal", "automatic", variants=(6, 7))
+    return _one(spark, sf_dir, "renewal", "automatic")
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end as day from t where variant in (3, 4, 6, 8)", dates="day")
 def render_term_end(spark, sf_dir):
-    return _one(spark, sf_dir, "end_date", "day", variants=(3, 4, 6, 8))
+    return _one(spark, sf_dir, "end_date", "day")
 
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, ({KINDS!r})[variant + 1] kind from t")
@@ -438,7 +468,7 @@ def first_on_day(spark, sf_dir):
 
 @query(f"with t as ({TRUTH_SQL}) select doc_id, case when variant = 6 or variant = 7 then 'renewal' else 'contract_end' end category, case when variant = 8 then issue_date + net_days else cast(issue_date + to_months(case when variant = 6 then 12 else term_months end) as date) - 1 end due_date from t where variant in (3, 4, 6, 8)", dates="due_date")
 def obligations_from_facts(spark, sf_dir):
-    f = facts(spark, sf_dir, 3, 4, 6, 8).withColumns({"verification": F.lit("confirmed"), "payer": F.lit(None).cast("string"), "payee": F.lit(None).cast("string")})
+    f = facts(spark, sf_dir).withColumns({"verification": F.lit("confirmed"), "payer": F.lit(None).cast("string"), "payee": F.lit(None).cast("string")})
     p = f.where("kind = 'party'").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("text").alias("name"), "role")).alias("parties"))
     p = p.select("doc_id", F.lit(None).cast("string").alias("user_party"), F.lit(False).alias("is_neither"), "parties")
     built = lifecycle.build(f, p).where("category in ('renewal', 'contract_end')")
