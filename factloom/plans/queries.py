@@ -282,6 +282,15 @@ def business_ids(spark, sf_dir):
 @query("select d.doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) normal, ltrim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) key, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) n_tokens from documents d where lang = 'en' and regexp_full_match(text, '[ -~\\n\\t]*')")
 def search_keys(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[ -~\n\t]*\z"))
+    return keys_of(d)
+
+
+@query()
+def search_keys_all(spark, sf_dir):
+    return keys_of(read(spark, sf_dir, "documents"))
+
+
+def keys_of(d):
     text = F.col("text")
     return d.select("doc_id", C.normalized(text).alias("normal"), C.search_key(text).alias("key"), F.size(C.tokens(text)).cast("long").alias("n_tokens"))
 
