@@ -11,7 +11,8 @@ Items are held in blocks of at most BLOCK_BYTES of text (measured first); docume
 meet each block in turn, so the memory of a task is bounded whatever the number of items.
 
 Defined results: null or empty texts have no words and no hits; rows with equal doc_ids are judged
-one by one; items that share an id count once; empty items never occur; an empty benchmark hits
+one by one; items that share an id count once, and so do those without
+one, which hit like any other and are left out of the list of ids; empty items never occur; an empty benchmark hits
 nothing; other columns of either table are ignored.
 """
 
@@ -45,7 +46,7 @@ HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 class Items:
     """The items of a block, with their fingerprints."""
 
-    def __init__(self, ids: list[str], texts: list[str | None]):
+    def __init__(self, ids: list[str | None], texts: list[str | None]):
         found = Texts(pa.array(texts, pa.large_string()), BREAK, FOLD)
         hashes = found.hashes()
         self.ids = ids
@@ -86,7 +87,7 @@ def runs(equal: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def found(texts: Texts, items: Items, covered: np.ndarray, hit_items: dict[int, set[str]]) -> None:
+def found(texts: Texts, items: Items, covered: np.ndarray, hit_items: dict[int, set[str | None]]) -> None:
     """Mark the words of `texts` inside occurring windows; note the items of each text."""
     hashes = texts.hashes()
     for i, begin in items.meetings(hashes):
@@ -112,7 +113,8 @@ def scanned(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Itera
             found(texts, items, covered, hit_items)
         total = np.concatenate([[0], np.cumsum(covered)])
         n_hit = np.diff(total[texts.first])
-        names = [sorted(hit_items.get(i, ())) for i in range(len(texts))]
+        met = [hit_items.get(i, ()) for i in range(len(texts))]
+        names = [sorted(x for x in own if x is not None) for own in met]
         spans = [
             [{"at": a, "to": b} for a, b in runs(covered[texts.first[i] : texts.first[i + 1]], 1)] if n_hit[i] else [] for i in range(len(texts))
         ]
@@ -121,7 +123,7 @@ def scanned(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Itera
                 batch.column(0),
                 pa.array(np.diff(texts.first)),
                 pa.array(n_hit),
-                pa.array([len(x) for x in names], pa.int64()),
+                pa.array([len(x) for x in met], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                 pa.array(n_hit > 0),
                 pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())]))),
@@ -134,7 +136,7 @@ def scanned(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Itera
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
     """The benchmark in blocks of measured size, each read to the driver and broadcast in turn."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // block_bytes) or 1
     blocks = []
