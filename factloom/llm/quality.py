@@ -24,14 +24,14 @@ from .common import Texts, gram_hashes, map_texts, mask_of, mix, small_batches,
 
 NGRAM, BITS = 3, 14
 BUCKETS = 1 << BITS
-#: At most so many trusted ids fit the target model (8 bytes each on an executor); taken by hash order.
-MAX_TRUSTED = 1_000_000
 THRESHOLD = -0.7
 SYMBOLS = mask_of(b"#*$%&|<>")
 CONTINUATION = mask_of(bytes(range(0x80, 0xC0)))
 MIN_WORDS = 50
 
-COUNTS = "bucket int, raw long, target long"
+COUNTS = "counts array<bigint>"
+#: Tasks that sum what the counting tasks found.
+SUM_TASKS = 8
 SCORES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, score double, kept boolean"
@@ -49,20 +49,25 @@ def gram_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key * np.uint32(2654435761)) >> np.uint32(32 - BITS), begins, np.maximum(begins, texts.offsets[1:] - NGRAM + 1)
 
 
-def counted(batches: Iterator[pa.RecordBatch], trusted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per task, the n-gram counts of all texts and of the trusted ones."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task one row, the n-gram counts of its texts."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         buckets, begins, ends = gram_buckets(Texts(batch.column(1)))
-        ids = batch.column(0)
-        good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
-        for total, own in ((raw, np.ones(len(ids), bool)), (target, good)):
-            edges = np.bincount(begins[own], minlength=len(buckets) + 1) - np.bincount(ends[own], minlength=len(buckets) + 1)
-            total += np.bincount(buckets[np.cumsum(edges[:-1]) > 0], minlength=BUCKETS)
-    full = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array(raw[full]), pa.array(target[full])], names=["bucket", "raw", "target"]
-    )
+        edges = np.bincount(begins, minlength=len(buckets) + 1) - np.bincount(ends, minlength=len(buckets) + 1)
+        total += np.bincount(buckets[np.cumsum(edges[:-1]) > 0], minlength=BUCKETS)
+    yield as_row(total)
+
+
+def as_row(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), pa.array(total))], names=["counts"])
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += batch.column(0).flatten().to_numpy().reshape(-1, BUCKETS).sum(axis=0)
+    yield as_row(total)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -119,23 +124,24 @@ def scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, threshold: floa
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], names=["doc_id", *out])
 
 
-def trusted_ids(labels: DataFrame, bound: int = MAX_TRUSTED) -> np.ndarray:
-    """Sorted ids of trusted documents: all of them up to the bound, else the first by hash order."""
-    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    found = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).toPandas()["doc_id"]
-    return np.sort(found.to_numpy(dtype=np.int64))
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts that labels marks as trusted, all of them; one merge join at every size."""
+    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return texts_of(docs).join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the texts, and once more."""
+    parts = texts.mapInArrow(counted, COUNTS).repartition(SUM_TASKS).mapInArrow(summed, COUNTS)
+    return sum((np.array(r.counts) for r in parts.collect()), np.ones(BUCKETS))
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of every bucket, each smoothed by one count a bucket."""
-    trusted = docs.sparkSession.sparkContext.broadcast(trusted_ids(labels))
-    parts = texts_of(docs).mapInArrow(lambda it: counted(it, trusted.value), COUNTS)
-    sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    raw[sums["bucket"]] += sums["raw"]
-    target[sums["bucket"]] += sums["target"]
+    target = bucket_counts(trusted(docs, labels))
     if target.sum() == BUCKETS:  # nothing is trusted: no evidence against any text
         return np.zeros(BUCKETS)
+    raw = bucket_counts(texts_of(docs))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
