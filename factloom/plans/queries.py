@@ -503,3 +503,20 @@ def loose_names(spark, sf_dir):
     rows = [("Tax Invoice", "invoice"), ("service-level agreement", "service_agreement"), ("LEASE deed", "rental_agreement"), ("gibberish", None)]
     made = [(0, raw, P.loose_type(raw) or "none") for raw, want in rows if P.loose_type(raw) != want]
     return spark.createDataFrame(made, "c_custkey long, segment string, m string")
+
+
+def contained(table, text):
+    """As parsers.first_contained, for a column."""
+    return F.coalesce(*(F.when(text.contains(key), value) for key, value in table))
+
+
+@query()
+def loose_names_all(spark, sf_dir):
+    low = F.lower("text")
+    key = F.translate(low, "_-", "  ")
+    bare = F.replace(key, F.lit(" "), F.lit(""))
+    exact = F.coalesce(*(F.when(bare == t.replace("_", ""), t) for t in dict(P.TYPES).values()))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(exact, contained(P.TYPES, key)).alias("type"), F.when(low.isin("pm", "p.m."), "monthly").otherwise(contained(P.FREQUENCIES, low)).alias("frequency"),
+        F.when(low.isNotNull(), F.coalesce(contained(P.CATEGORIES, low), F.lit("other"))).alias("category"), contained(P.CLAUSES, low).alias("clause"),
+    )
