@@ -4,60 +4,69 @@ A text's set is its distinct word n-grams as 64-bit hashes; the order of those h
 order of n-grams, and cutting it at fixed places gives fragments. Two sets link when
 DEN * |intersection| >= NUM * |union|.
 
-Candidates. Sets that link differ in at most (1-t)/(1+t) of their sizes' sum, t = NUM/DEN, so of
-more fragments than that the surplus are the same on both sides, whatever the rest holds. Each set
-sends the digest of each fragment (for the size classes its partners may be in), and a pair must
-share as many as its class guarantees: pairs are counted inside small groups of equal digests, and
-large groups (more than PAIRED sets, copies as a rule) are tied as they are. (At thresholds of about
-0.88 and more, fragments are so long that all groups are tied as they are.) N-grams that a bounded
-sample of documents shows to be frequent come last in the global order and take no part in fragments
-(leaving them out can only lessen the difference), so that a common passage ties nothing. Room is
-left for fragments empty on both sides; a set with more such fragments than that sends its prefix in
-the global order too, drawn out by an eighth of the size, of which its equally sparse partners must
-meet as many n-grams as it is drawn out by. No pair is lost, whatever the sample says.
-
-Verification. Tied sets form clusters, found as connected components. In a cluster (split into
-blocks that meet two by two once it outgrows BLOCK_SETS sets or BLOCK_GRAMS n-grams) the shared
-n-grams are cut along the global order into fragments of FRAGMENT; each fragment's partial overlaps
-are counted for itself, as one matrix product, and summed per pair. What links is sent on as a
-spanning forest, so no group's pairs are ever written out. Equal sets are one class throughout.
+Candidates. Sets that link differ in at most D = (1-t)/(1+t) of their sizes' sum, t = NUM/DEN, and
+each n-gram in which they differ spoils one fragment at most. So of n fragments at least n - D are
+the same on both sides. Each set drops the fragments of fewest n-grams (a rank by content alone, so
+both sides rank a common fragment alike) until D + NEEDED are left, and sends their digests, dealt
+by digest; a pair that links then shares at least NEEDED of them. Equal fragments are counted per
+pair in each bucket for itself, and the partial counts are summed per pair by a shuffle. This is
+done for the size classes that a set's partners may be in. A set with more empty fragments than it
+may drop also sends the front of its n-grams in the global order, of which equally sparse partners
+must share as many as it is longer than one shared n-gram asks for.
+
+Pairs are counted only within groups of up to PAIRED sets of equal digests. Of larger groups a set
+may hold SPARE = NEEDED // 2: its partners share at least NEEDED - SPARE digests in small groups all
+the same, which is what the sums are held against. Sets that hold more are hot: hot sets in one large
+group are tied to one of them (a star, never pairs). So a passage that many documents share ties
+nothing unless it makes up much of them, and no pair is lost.
+
+Verification. Tied sets form clusters, found as connected components. In a cluster of one block the
+n-grams are cut along the global order into fragments of FRAGMENT, each fragment's partial overlaps
+are counted for itself, as one matrix product, and summed per pair. A larger cluster is cut into
+blocks of BLOCK_SETS sets or BLOCK_GRAMS n-grams; each block is counted with itself and with a few
+pivots of the cluster, and only sets that this leaves outside the cluster's largest group go on to
+meet all blocks. So a template with a million variants costs a million set transfers, not their
+square. What links is sent on as a spanning forest, so no group's pairs are ever written out. Equal
+sets are one class throughout.
 
 Defined results: null or empty texts have an empty set and link with nothing; a text with fewer
 words than n has its whole word sequence as its only n-gram; rows that share a doc_id are one
 document as to links; null doc_ids link with nothing and have no component; an empty table gives
-no rows.
+no rows; other columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packed
 from .common import Texts, gram_hashes, mix, saved, small_batches, table, texts_of
 from .graph import components
 
-BLOCK_SETS, BLOCK_GRAMS = 1024, 4_000_000
+BLOCK_SETS, BLOCK_GRAMS = 1024, 2_000_000
 #: N-grams of the global order that one matrix product covers.
 FRAGMENT = 1024
 #: Largest group of equal digests whose pairs are counted.
-PAIRED = 64
+PAIRED = 8
 #: Number of size classes; numbers from CLASSES on are those of prefix digests.
 CLASSES = 64
-#: Documents of the sample (first by hash of the id), how often an n-gram occurs there to be frequent, and how many such are kept.
-SAMPLE_DOCS, OFTEN, MOST = 12_000, 3, 200_000
-#: Values a task gathers before it sends them on.
-FLUSH = 1_500_000
+#: Sets of a large cluster that all its blocks are held against first.
+PIVOTS = 4
+#: Digests a task gathers before it sends them on, pairs it gathers before it sums them, and digests meant for one bucket.
+FLUSH, PAIRS, BUCKET = 1_000_000, 500_000, 700_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-SIGNS = {"sign": "<u8", "doc": "<i8", "large": "<u1", "a": "<i8", "b": "<i8"}
+#: What goes to a bucket: digests with their documents and marks (1: large group, 2: hot document); ties; members of groups known to be large.
+SIGNS = {"sign": "<u8", "doc": "<i8", "mark": "<u1", "a": "<i8", "b": "<i8", "member": "<i8", "of": "<u8"}
+#: Kinds of what a bucket finds.
+PAIR, TIE, MEMBER = 0, 1, 2
 
 
 class Join:
@@ -65,28 +74,35 @@ class Join:
 
     def __init__(self, words: int = 3, num: int = 90, den: int = 100):
         self.words, self.num, self.den = words, num, den
-        # at high thresholds fragments are long, chance ties rare, and groups of any size are tied as they are
-        self.paired = 1 if (den - num) * 15 < den + num else PAIRED
-        self.apart = (den - num) / (den + num)
         ratio = 1 + 3 * (1 - num / den)
         self.begins = [1]
-        while len(self.begins) < CLASSES:  # the last class, of sets of millions, goes by prefixes
+        while len(self.begins) < CLASSES:
             self.begins.append(max(self.begins[-1] + 1, int(self.begins[-1] * ratio)))
+        self.starts = np.array(self.begins)
 
-    def class_of(self, size: int) -> int:
-        return int(np.searchsorted(self.begins, size, "right")) - 1
+    def apart(self, sizes: np.ndarray | int, others: np.ndarray | int) -> np.ndarray | int:
+        """In how many n-grams linked sets of these sizes differ at most."""
+        return (self.den - self.num) * (sizes + others) // (self.den + self.num)
 
-    def classes(self, size: int) -> range:
-        """Classes of the larger side of any pair this size can be in."""
-        return range(self.class_of(size), self.class_of(size * self.den // self.num) + 1)
+    def largest(self, cls: int) -> int:
+        return self.begins[cls + 1] - 1 if cls + 1 < CLASSES else self.begins[cls] * 4
 
-    def fragments(self, cls: int) -> tuple[int, int, int]:
-        """Of a class: number of fragments, how many may be empty, and how many linked sets surely share."""
-        least = (self.den - self.num) * 2 * (self.begins[cls + 1] - 1) // (self.den + self.num) + 1
-        surplus = least // 4 if self.paired > 1 else 0
-        thin = math.exp(-self.begins[cls] / (least + surplus))
-        slack = int(2 * least * thin) + (2 if least >= 8 else 0)
-        return least + surplus + slack, slack, surplus + 1
+    def needed(self, cls: int) -> int:
+        """How many digests of a class a linked pair surely shares."""
+        return max(1, self.apart(self.largest(cls), self.largest(cls)) // 4) if cls < CLASSES else self.drawn_out(cls - CLASSES)
+
+    def spare(self, cls: int) -> int:
+        """How many digests of large groups a set may hold without being hot."""
+        return self.needed(cls) // 2
+
+    def fragments(self, cls: int) -> int:
+        apart = self.apart(self.largest(cls), self.largest(cls))
+        sent = apart + self.needed(cls)
+        return sent + sent // 10 + (2 if apart else 0)
+
+    def drawn_out(self, cls: int) -> int:
+        """How many n-grams of their prefixes linked sparse sets of a class surely share."""
+        return max(1, self.begins[cls] // 8)
 
     def sets(self, texts: Texts) -> list[np.ndarray]:
         """The sorted distinct n-grams of each text."""
@@ -100,37 +116,39 @@ class Join:
                 out.append(gram_hashes(h[a:b], b - a, seed=b - a) if b > a else h[:0])
         return out
 
-    def signs(self, own: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
-        """What a set sends: digests of its fragments by class, and its prefix if it is sparse; the class is in
-        the lowest 7 bits. often: sorted n-grams."""
-        out, sparse = [], False
-        last = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
-        ordered = np.concatenate([own[~last], own[last]])
-        own, size = own[~last], len(own)
-        mixed = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        for cls in self.classes(size):
-            if cls == CLASSES - 1:
-                sparse = True
+    def signs(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What the sets send and which set sends it: digests of fragments by class, prefixes of sparse sets; the class
+        is in the lowest 7 bits."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        least = np.searchsorted(self.starts, sizes, "right") - 1
+        most = np.searchsorted(self.starts, sizes * self.den // self.num, "right") - 1
+        signs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for cls in range(max(0, int(least.min(initial=0))), int(most.max(initial=-1)) + 1):
+            own = np.flatnonzero((least <= cls) & (cls <= most) & (sizes > 0))
+            if not len(own):
                 continue
-            n, slack, _ = self.fragments(cls)
-            at = ((own >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            begins = np.flatnonzero(np.concatenate([[len(own) > 0], at[1:] != at[:-1]]))
-            if len(own):
-                out.append(mix(np.add.reduceat(mixed, begins) + mix(at[begins])) << np.uint64(7) | np.uint64(cls))
-            sparse |= n - len(begins) > slack
-        if sparse:
-            for cls in self.classes(size):
-                prefix = ordered[: size - -(-size * self.num // self.den) + self.drawn_out(cls)]
-                out.append(mix(prefix) << np.uint64(7) | np.uint64(CLASSES + cls))
-        return out
-
-    def drawn_out(self, cls: int) -> int:
-        """By how many n-grams more than needed for one shared n-gram the prefixes of a class go on."""
-        return max(1, self.begins[cls] // 8) if self.paired > 1 else 1
-
-    def needed(self) -> list[int]:
-        """By class, how many digests a pair must share."""
-        return [self.fragments(c)[2] for c in range(CLASSES - 1)] + [1] + [self.drawn_out(c) for c in range(CLASSES)]
+            n, needed = self.fragments(cls), self.needed(cls)
+            others = np.minimum(sizes[own] * self.den // self.num, self.largest(cls))
+            sent = self.apart(sizes[own], others) + needed
+            grams = np.concatenate([sets[i] for i in own])
+            place = np.repeat(np.arange(len(own)), sizes[own])
+            at = ((grams >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1])]))
+            sign = mix(np.add.reduceat(mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begins) + mix(at[begins])) << np.uint64(7) | np.uint64(cls)
+            place, count = place[begins], np.diff(np.concatenate([begins, [len(grams)]]))
+            order = np.lexsort([sign, -count, place])
+            sign, place = sign[order], place[order]
+            full = np.bincount(place, minlength=len(own))
+            rank = np.arange(len(place)) - np.repeat(np.cumsum(full) - full, full)
+            keep = rank < sent[place]
+            signs.append(sign[keep])
+            owners.append(own[place[keep]])
+            for i in np.flatnonzero(full < sent):
+                size = sizes[own[i]]
+                prefix = sets[own[i]][: size - -(-size * self.num // self.den) + self.drawn_out(cls)]
+                signs.append(mix(prefix) << np.uint64(7) | np.uint64(CLASSES + cls))
+                owners.append(np.full(len(prefix), own[i]))
+        return np.concatenate(signs), np.concatenate(owners)
 
 
 def batch_sets(batch: pa.RecordBatch, join: Join) -> tuple[list[int | None], list[np.ndarray]]:
@@ -152,85 +170,81 @@ def summed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordB
         )
 
 
-def ties(sign: np.ndarray, doc: np.ndarray, large: np.ndarray, paired: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values sorted by digest and document, without repeats; which group each is of; whether the group is large."""
+def distinct(sign: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests and documents sorted, without repeats, with their marks; which group of equal digests each is in."""
     order, begins = packed.grouped([sign, doc])
     if not len(order):
-        return sign, doc, np.zeros(0, np.int64), np.zeros(0, bool)
-    large = np.maximum.reduceat(large[order], begins).astype(bool)
+        return sign, doc, mark, np.zeros(0, np.int64)
+    mark = np.bitwise_or.reduceat(mark[order], begins)
     sign, doc = sign[order[begins]], doc[order[begins]]
-    group = np.cumsum(np.concatenate([[True], sign[1:] != sign[:-1]])) - 1
-    big = (np.bincount(group) > paired) | (np.bincount(group, weights=large) > 0)
-    return sign, doc, group, big[group]
-
-
-def stars(doc: np.ndarray, group: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First member of each large group, and edges from it to the others."""
-    at = np.flatnonzero(large)
-    if not len(at):
-        return at, doc[at], doc[at]
-    first = at[np.concatenate([[True], group[at][1:] != group[at][:-1]])]
-    least = np.repeat(doc[first], np.bincount(group[at] - group[at][0])[np.unique(group[at] - group[at][0])])
-    other = least != doc[at]
-    return first, least[other], doc[at][other]
-
-
-GRAMS = {"gram": "<u8"}
-
-
-def sampled(batches: Iterator[pa.RecordBatch], join: Join, n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = batch_sets(batch, join)[1]
-        grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        yield packed.split((grams % np.uint64(n)).astype(np.int64), {"gram": grams}, GRAMS)
+    return sign, doc, mark, np.cumsum(np.concatenate([[True], sign[1:] != sign[:-1]])) - 1
 
 
-def often_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, n = np.unique(packed.joined(batches, GRAMS)["gram"], return_counts=True)
-    top = np.flatnonzero(n >= OFTEN)
-    yield pa.RecordBatch.from_arrays([pa.array([x[top].tobytes()], pa.binary()) for x in (grams.astype("<u8"), n.astype("<i8"))], names=["gram", "n"])
+def hot_members(sign: np.ndarray, doc: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Of members of large groups, which belong to a document that holds more of a class than it may spare."""
+    cls = (sign & np.uint64(127)).astype(np.int64)
+    order, begins = packed.grouped([doc, cls])
+    count = np.diff(np.concatenate([begins, [len(order)]]))
+    hot = np.zeros(len(order), bool)
+    hot[order] = np.repeat(count > spare[cls[order[begins]]], count)
+    return hot
 
 
-def frequent(texts: DataFrame, join: Join, total: int) -> np.ndarray:
-    """N-grams that are frequent in a sample of about SAMPLE_DOCS documents; counted on executors, at most MOST kept."""
-    n = packed.partitions(texts.sparkSession)
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total))) < SAMPLE_DOCS)
-    sent_on = packed.dealt(chosen.mapInArrow(lambda it: sampled(it, join, n), packed.schema(GRAMS)))
-    parts = sent_on.mapInArrow(often_in, "gram binary, n binary").collect()
-    grams = np.concatenate([np.frombuffer(p.gram, "<u8") for p in parts] + [np.zeros(0, np.uint64)])
-    count = np.concatenate([np.frombuffer(p.n, "<i8") for p in parts] + [np.zeros(0, np.int64)])
-    return np.sort(grams[np.lexsort([grams, -count])[:MOST]])
-
-
-def sent(batches: Iterator[pa.RecordBatch], join: Join, n: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Digests by bucket; of a group that is large in a task already, only one, and the ties."""
+def sent(batches: Iterator[pa.RecordBatch], join: Join, n: int) -> Iterator[pa.RecordBatch]:
+    """Digests by bucket. Of a group that is large in a task already, one digest goes there to say so; its hot
+    documents are tied here, the others are sent on as members, dealt by document."""
     signs: list[np.ndarray] = []
     docs: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
     size = 0
+    spare = np.array([join.spare(c) for c in range(2 * CLASSES)])
+
+    def dealt_by(ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
         sign, doc = np.concatenate(signs), np.concatenate(docs)
-        sign, doc, group, large = ties(sign, doc, np.zeros(len(sign), np.uint8), getattr(join, "paired", PAIRED))
-        first, a, b = stars(doc, group, large)
-        keep = ~large
+        sign, doc, mark, group = distinct(sign, doc, np.zeros(len(sign), np.uint8))
+        large = np.flatnonzero((np.bincount(group) > PAIRED)[group])
+        hot = hot_members(sign[large], doc[large], spare)
+        mark[large] = 1 + 2 * hot
+        # one of each large group, a hot one if there is one, stands for it in its bucket
+        order = large[np.lexsort([~hot, group[large]])]
+        first = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])] if len(order) else order
+        stands = np.zeros(int(group[-1]) + 1, np.int64)
+        stands[group[first]] = first
+        keep = np.ones(len(sign), bool)
+        keep[large] = False
         keep[first] = True
         order = np.flatnonzero(keep)[np.argsort(doc[keep], kind="stable")]  # runs of equal documents pack well
-        out = {"sign": sign[order], "doc": doc[order], "large": large[order].astype(np.uint8)}
-        yield packed.split(((out["sign"] >> np.uint64(7)) % np.uint64(n)).astype(np.int64), out, SIGNS)
-        if len(a):
-            yield packed.split((mix(b.astype(np.uint64)) % np.uint64(n)).astype(np.int64), {"a": a, "b": b}, SIGNS)
+        yield packed.split(((sign[order] >> np.uint64(7)) % np.uint64(n)).astype(np.int64), {"sign": sign[order], "doc": doc[order], "mark": mark[order]}, SIGNS)
+        tied_now = large[hot]
+        a, b = doc[stands[group[tied_now]]], doc[tied_now]
+        if (a != b).any():
+            forest = Forest()
+            for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
+                forest.join(x, y)
+            edges = np.array(forest.edges, np.int64)
+            yield packed.split(dealt_by(edges[:, 1]), {"a": edges[:, 0], "b": edges[:, 1]}, SIGNS)
+        others = large[~hot]
+        others = others[~keep[others]]
+        if len(others):
+            yield packed.split(dealt_by(doc[others]), {"member": doc[others], "of": sign[others]}, SIGNS)
 
     for batch in batches:
-        for i, own in zip(*batch_sets(batch, join), strict=True):
+        ids, sets = batch_sets(batch, join)
+        kept_ids, kept = [], []
+        for i, own in zip(ids, sets, strict=True):
             if i is None or not len(own) or (key := digest(own)) in seen:  # equal sets are one class already
                 continue
-            if len(seen) < 200_000:
+            if len(seen) < 100_000:
                 seen.add(key)
-            for s in join.signs(own, often):
-                signs.append(s)
-                docs.append(np.full(len(s), i))
-                size += len(s)
+            kept_ids.append(i)
+            kept.append(own)
+        sign, owner = join.signs(kept)
+        signs.append(sign)
+        docs.append(np.array(kept_ids, np.int64)[owner])
+        size += len(sign)
         if size > FLUSH:
             yield from flush()
             signs, docs, size = [], [], 0
@@ -238,33 +252,46 @@ def sent(batches: Iterator[pa.RecordBatch], join: Join, n: int, often: np.ndarra
         yield from flush()
 
 
-def tied(batches: Iterator[pa.RecordBatch], paired: int = PAIRED) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: ties of large groups (class -1), and pairs of small ones with how many digests they share."""
-    got = packed.joined(batches, SIGNS)
-    sign, doc, group, large = ties(got["sign"], got["doc"], got["large"], paired)
-    _, a, b = stars(doc, group, large)
-    forest = Forest()
-    for x, y in zip(np.concatenate([a, got["a"]]).tolist(), np.concatenate([b, got["b"]]).tolist(), strict=True):
-        forest.join(x, y)
-    names = ["a", "b", "class", "n"]
-    edges = np.array(forest.edges, np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), -1, np.int32)), pa.array(np.ones(len(edges), np.int64))], names=names)
-    small = np.flatnonzero(~large)
-    sign, doc, group = sign[small], doc[small], group[small]
-    found = []
-    for step in range(1, paired):
-        same = np.flatnonzero(group[step:] == group[:-step])
-        if not len(same):
-            break
-        found.append(np.stack([doc[same], doc[same + step], (sign[same] & np.uint64(127)).astype(np.int64)]))
-    if found:
-        a, b, cls = np.concatenate(found, axis=1)
-        order, begins = packed.grouped([a, b, cls])
-        count = np.diff(np.concatenate([begins, [len(order)]]))
-        at = order[begins]
-        for i in range(0, len(at), 50_000):
-            own = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.array(cls[own].astype(np.int32)), pa.array(count[i : i + 50_000])], names=names)
+def found_batch(kind: int, a: np.ndarray, b: np.ndarray, cls: np.ndarray | int, n: np.ndarray | int) -> pa.RecordBatch:
+    size = len(a)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(np.broadcast_to(cls, size).astype(np.int32)), pa.array(np.broadcast_to(n, size).astype(np.int64))],
+        names=["kind", "a", "b", "class", "n"],
+    )
+
+
+def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: pairs of small groups with how many digests they share here, ties, and members of large groups."""
+    for got in packed.by_bucket(batches, SIGNS):
+        sign, doc, mark, group = distinct(got["sign"], got["doc"], got["mark"])
+        forest = Forest()
+        for x, y in zip(got["a"].tolist(), got["b"].tolist(), strict=True):
+            forest.join(x, y)
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        yield found_batch(TIE, edges[:, 0], edges[:, 1], -1, 1)
+        yield found_batch(MEMBER, got["member"], got["of"].view(np.int64), (got["of"] & np.uint64(127)).astype(np.int64), 0)
+        if not len(sign):
+            continue
+        flagged = np.zeros(int(group[-1]) + 1, bool)
+        flagged[group[(mark & 1) > 0]] = True
+        large = (flagged | (np.bincount(group) > PAIRED))[group]
+        cls = (sign & np.uint64(127)).astype(np.int64)
+        yield found_batch(MEMBER, doc[large], sign[large].view(np.int64), cls[large], mark[large] >> 1)
+        doc, group, cls = doc[~large], group[~large], cls[~large]
+        for at in range(0, len(doc), PAIRS):  # the pairs whose first place is in this slice
+            to = min(at + PAIRS, len(doc))
+            pairs = []
+            for step in range(1, PAIRED):
+                stop = min(to, len(doc) - step)
+                same = at + np.flatnonzero(group[at + step : stop + step] == group[at:stop]) if stop > at else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                pairs.append(np.stack([doc[same], doc[same + step], cls[same]]))
+            if pairs:
+                a, b, c = np.concatenate(pairs, axis=1)
+                order, begins = packed.grouped([a, b, c])
+                top = order[begins]
+                yield found_batch(PAIR, a[top], b[top], c[top], np.diff(np.concatenate([begins, [len(order)]])))
 
 
 class Forest:
@@ -315,92 +342,142 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(ids: list[int], sets: list[np.ndarray], block: list[int], lo: int, hi: int, join: Join, forest: Forest) -> None:
-    left = [i for i, b in enumerate(block) if b == lo]
-    right = left if lo == hi else [i for i, b in enumerate(block) if b == hi]
-    if not left or not right:
+def verified(ids: list[int], sets: list[np.ndarray], sides: list[int], join: Join, forest: Forest) -> None:
+    """Join what links: all pairs if there is one side only, else those across."""
+    left = [i for i, s in enumerate(sides) if s == 0]
+    right = [i for i, s in enumerate(sides) if s == 1] or left
+    if not left:
         return
     both = overlaps([sets[i] for i in left], [sets[i] for i in right])
     sizes = np.array([len(s) for s in sets], np.float64)
     union = sizes[left][:, None] + sizes[right][None, :] - both
-    for row, links in enumerate(join.den * both.astype(np.float64) >= join.num * union):
-        for col in np.flatnonzero(links).tolist():
+    for row, found in enumerate(join.den * both.astype(np.float64) >= join.num * union):
+        for col in np.flatnonzero(found).tolist():
             forest.join(ids[left[row]], ids[right[col]])
 
 
 def spread(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
-    """Each cluster member's set, to each block pair it takes part in."""
-    names = ["cluster", "lo", "hi", "block", "doc", "own"]
+    """Each member's set, to each block pair it takes part in (columns 2 and 3: cluster, structs of lo, hi and side)."""
+    names = ["cluster", "lo", "hi", "side", "doc", "own"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         ids, sets = batch_sets(batch, join)
-        rows = []
-        for i, own, cluster, block, k in zip(ids, sets, *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+        rows, held = [], 0
+        for i, own, cluster, places in zip(ids, sets, *(batch.column(c).to_pylist() for c in (2, 3)), strict=True):
             data = own.astype("<u8").tobytes()
-            for other in range(k):
-                rows.append((cluster, min(block, other), max(block, other), block, i, data))
-            if len(rows) >= 512:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                rows = []
+            for place in places:
+                rows.append((cluster, place["lo"], place["hi"], place["side"], i, data))
+                held += len(data)
+                if held > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def links(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     """The linked pairs of each block pair, as a spanning forest; rows come sorted by block pair."""
-    now, ids, sets, block, edges = None, [], [], [], []
+    now, ids, sets, sides = None, [], [], []
+    edges: list[tuple[int, int]] = []
 
     def done() -> None:
         if now is not None:
             forest = Forest()
-            verified(ids, sets, block, now[1], now[2], join, forest)
+            verified(ids, sets, sides, join, forest)
             edges.extend(forest.edges)
 
     for batch in batches:
-        for cluster, lo, hi, b, doc, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for cluster, lo, hi, side, doc, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (cluster, lo, hi) != now:
                 done()
-                now, ids, sets, block = (cluster, lo, hi), [], [], []
+                now, ids, sets, sides = (cluster, lo, hi), [], [], []
+                if len(edges) > 100_000:
+                    yield edge_batch(edges)
+                    edges.clear()
             ids.append(doc)
             sets.append(np.frombuffer(own, "<u8"))
-            block.append(b)
+            sides.append(side)
     done()
     yield edge_batch(edges)
 
 
+def met(texts: DataFrame, members: DataFrame, join: Join) -> DataFrame:
+    """Linked pairs (a spanning forest) of members (member, cluster, places) whose places meet."""
+    n = packed.partitions(texts.sparkSession)
+    # a merge join at every size: the members' side grows with the corpus
+    chosen = texts.join(members.hint("merge"), F.col("doc_id") == F.col("member")).select("doc_id", "text", "cluster", "places")
+    rows = chosen.mapInArrow(lambda it: spread(it, join), "cluster long, lo int, hi int, side int, doc long, own binary")
+    rows = rows.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    return rows.mapInArrow(lambda it: links(it, join), "a long, b long")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """By cluster, how many blocks its members (n_shingles) are cut into, where there are two members or more."""
+    stats = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("grams")).where("m > 1")
+    return stats.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("k"))
+
+
+def linked(texts: DataFrame, members: DataFrame, join: Join) -> DataFrame:
+    """(v, component) of the linked members of clusters; members: member, n_shingles, cluster."""
+    block = F.pmod(F.xxhash64("member"), F.col("k")).cast("int")
+    place = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
+    sized = members.join(blocks(members), "cluster").withColumn("block", block)
+    pivots = sized.where("k > 1").groupBy("cluster").agg(F.array_distinct(F.array(*(F.min_by("member", F.xxhash64("member", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
+    first = sized.join(pivots, "cluster", "left")
+    # a pivot goes to every block, others to their own
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: place(b, b, 0))
+    first = first.withColumn("places", F.when(F.array_contains("pivots", F.col("member")), everywhere).otherwise(F.array(place(F.col("block"), F.col("block"), 0))))
+    edges = saved(met(texts, first, join), "links")
+    groups = components(edges)
+    wide = saved(sized.where("k > 1").join(groups, F.col("member") == F.col("v"), "left").select("cluster", "member", "n_shingles", "block", "k", F.coalesce("component", "member").alias("group")), "wide")
+    main = wide.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
+    wide = wide.join(main, "cluster")
+    outside = wide.where("group <> main").groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("grams"))
+    outside = outside.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("j"))
+    if outside.isEmpty():
+        return groups
+    rest = wide.join(outside, "cluster").withColumn("own", F.pmod(F.xxhash64("member", F.lit("own")), F.col("j")).cast("int"))
+    all_outside = F.transform(F.sequence(F.lit(0), F.col("j") - 1), lambda b: place(b, F.col("block"), 1))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: place(F.col("own"), b, 0))
+    rest = rest.withColumn("places", F.when(F.col("group") != F.col("main"), F.concat(all_outside, all_blocks)).otherwise(all_outside))
+    return components(edges.union(met(texts, rest, join)))
+
+
+def candidates(texts: DataFrame, join: Join, n: int) -> DataFrame:
+    """Edges a, b that tie all sets that may link; n buckets."""
+    sent_on = texts.mapInArrow(lambda it: sent(it, join, n), packed.schema(SIGNS))
+    dealt = packed.dealt(sent_on).sortWithinPartitions("bucket")
+    found = saved(dealt.mapInArrow(tied, "kind int, a long, b long, class int, n long"), "pairs")
+    by_class = lambda f: F.get(F.array(*(F.lit(int(f(c))) for c in range(2 * CLASSES))), F.col("class"))
+    enough = by_class(lambda c: join.needed(c) - join.spare(c))
+    counted = found.where(F.col("kind") == PAIR).groupBy("a", "b", "class").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("doc"), F.col("b").alias("sign"), "class", "n")
+    held = Window.partitionBy("doc", "class")
+    hot = members.withColumns({"held": F.count(F.lit(1)).over(held), "marked": F.max("n").over(held)})
+    hot = hot.where((F.col("marked") > 0) | (F.col("held") > by_class(join.spare))).select("doc", "sign")
+    stars = hot.join(hot.groupBy("sign").agg(F.min("doc").alias("least")), "sign").where("doc <> least").select("doc", "least").distinct()
+    return found.where(F.col("kind") == TIE).select("a", "b").union(counted.select("a", "b")).union(stars)
+
+
 def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    join, n = Join(words, num, den), packed.partitions(spark)
+    join = Join(words, num, den)
     texts = texts_of(docs)
     sizes = saved(texts.mapInArrow(lambda it: summed(it, join), "doc_id long, n_shingles long, s1 long, s2 long"), "sets")
     classes = sizes.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     own = sizes.where("n_shingles > 0 and doc_id is not null").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "rep")
     own = saved(own, "classes")
 
-    often = spark.sparkContext.broadcast(frequent(texts, join, sizes.count()))
-
-    def sized(members: DataFrame) -> DataFrame:
-        """Clusters of two members or more, with the number of blocks they are cut into."""
-        stats = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("grams")).where("m > 1")
-        return stats.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("k"))
-
-    signs = texts.mapInArrow(lambda it: sent(it, join, n, often.value), packed.schema(SIGNS))
-    pairs = saved(packed.dealt(signs).mapInArrow(lambda it: tied(it, join.paired), "a long, b long, class int, n long"), "pairs")
-    enough = F.get(F.array(*(F.lit(x) for x in join.needed())), F.col("class"))
-    counted = pairs.where("class >= 0").groupBy("a", "b", "class").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
-    edges = pairs.where("class < 0").select("a", "b").union(counted.select("a", "b"))
+    # each class sends at most half as many digests as a set has n-grams, in about 1.5 classes: buckets follow the data's size
+    total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    n = max(4 * packed.partitions(spark), int(total * (den - num) / (den + num) * 4 / BUCKET))
     same = own.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    clusters = components(edges.union(same))
+    clusters = components(candidates(texts, join, n).union(same))
     members = own.where("doc_id = rep").select("doc_id", "n_shingles").distinct().join(clusters, F.col("doc_id") == F.col("v"))
     members = saved(members.select(F.col("doc_id").alias("member"), "n_shingles", F.col("component").alias("cluster")), "members")
-    some = members.join(sized(members), "cluster").withColumn("block", F.pmod(F.xxhash64("member"), F.col("k")).cast("int"))
-    # a merge join at every size: the members' side grows with the corpus
-    chosen = texts.join(some.hint("merge"), F.col("doc_id") == F.col("member")).select("doc_id", "text", "cluster", "block", "k")
-    rows = chosen.mapInArrow(lambda it: spread(it, join), "cluster long, lo int, hi int, block int, doc long, own binary")
-    rows = rows.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    groups = components(rows.mapInArrow(lambda it: links(it, join), "a long, b long"))
+    groups = linked(texts, members, join)
 
     found = own.join(groups, F.col("rep") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sizes.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

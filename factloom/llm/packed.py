@@ -46,6 +46,23 @@ def joined(batches: Iterator[pa.RecordBatch], fields: Fields) -> dict[str, np.nd
     return {name: np.frombuffer(b"".join(x), kind) for (name, kind), x in zip(fields.items(), parts.values(), strict=True)}
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch], fields: Fields) -> Iterator[dict[str, np.ndarray]]:
+    """All values of each bucket, by field; a partition's rows come sorted by bucket, and one bucket is held at a time."""
+    now, parts = None, {name: [] for name in fields}
+    for batch in batches:
+        buckets = batch.column(0).to_pylist()
+        columns = {name: batch.column(batch.schema.get_field_index(name)) for name in fields}
+        for i, bucket in enumerate(buckets):
+            if bucket != now:
+                if now is not None:
+                    yield {name: np.frombuffer(b"".join(parts[name]), kind) for name, kind in fields.items()}
+                now, parts = bucket, {name: [] for name in fields}
+            for name in fields:
+                parts[name].append(columns[name][i].as_py())
+    if now is not None:
+        yield {name: np.frombuffer(b"".join(parts[name]), kind) for name, kind in fields.items()}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,7 +41,7 @@ def near(spark):
     return spark.createDataFrame([(1000 + i, t, None, None, None, None, None) for i, t in enumerate(rows)], SCHEMA)
 
 
-@pytest.mark.parametrize("n,num,den,paired", [(3, 90, 100, 32), (5, 80, 100, 32), (3, 80, 100, 2)])
+@pytest.mark.parametrize("n,num,den,paired", [(3, 90, 100, 8), (5, 80, 100, 32), (3, 80, 100, 2), (3, 90, 100, 2)])
 def test_matches_brute_force(spark, monkeypatch, n, num, den, paired):
     monkeypatch.setattr(jaccard, "PAIRED", paired)
     docs = awkward(spark, n=60, vocab=6).unionByName(near(spark))
@@ -50,29 +50,34 @@ def test_matches_brute_force(spark, monkeypatch, n, num, den, paired):
     assert got == want
 
 
-def test_large_clusters_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("num", [70, 90])
+def test_large_clusters_in_blocks(spark, monkeypatch, num):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     monkeypatch.setattr(jaccard, "FRAGMENT", 16)
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
     docs = near(spark)
-    got = sorted(str(tuple(r)) for r in jaccard_join(docs).collect())
-    assert got == brute(docs.collect(), 3, 90, 100)
+    got = sorted(str(tuple(r)) for r in jaccard_join(docs, 3, num, 100).collect())
+    assert got == brute(docs.collect(), 3, num, 100)
 
 
-@pytest.mark.parametrize("num", [80, 90])
+@pytest.mark.parametrize("num", [70, 80, 90])
 def test_linked_sets_share_enough(num):
     rng, join = np.random.default_rng(3), Join(3, num, 100)
+    linked = 0
     for _ in range(3000):
         n = int(rng.integers(2, 300))
-        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
         cut = int(rng.integers(0, max(1, n * (100 - num) // 100) + 1))
-        y = np.concatenate([x[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, cut + 1)), dtype=np.uint64)])
+        y = np.concatenate([x[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, cut + 1)), dtype=np.uint64) * np.uint64(2)])
         x, y = np.unique(x), np.unique(y)
         both = len(np.intersect1d(x, y))
-        often = np.unique(rng.choice(np.concatenate([x, y]), int(rng.integers(0, 2 * n)))) if rng.random() < 0.7 else x[:0]
         if len(y) and 100 * both >= num * (len(x) + len(y) - both):
-            shared = np.intersect1d(np.concatenate(join.signs(x, often)), np.concatenate(join.signs(y, often))) & np.uint64(127)
+            linked += 1
+            sign, owner = join.signs([x, y, x[:0]])
+            shared = np.intersect1d(sign[owner == 0], sign[owner == 1]) & np.uint64(127)
             counts = np.bincount(shared.astype(int), minlength=128)
-            assert any(n >= least for n, least in zip(counts, join.needed(), strict=True))
+            assert any(n >= join.needed(c) for c, n in enumerate(counts))
+    assert linked > 1000
 
 
 def test_components(spark):
