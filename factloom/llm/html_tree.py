@@ -7,20 +7,32 @@ import random
 import re
 from dataclasses import dataclass, field
 
-#: Elements inside a line of text; all others part blocks.
+#: Elements inside a line of text, formulas among them; all others part blocks.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose mtable mtr mtd semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, and none of which is text of the page.
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math select button option".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp svg annotation annotation-xml".split())
+#: Controls, whose text is part of a form; what begins or ends next after the start tag of one.
+CONTROLS = {
+    "button": re.compile(r"<(/?)button(?=[\s/>])", re.I),
+    "select": re.compile(r"<(/?)select(?=[\s/>])", re.I),
+    "option": re.compile(r"<(?:(/)option|option|/select|/datalist|/optgroup|optgroup)(?=[\s/>])", re.I),
+}
 #: Opening one of these ends an open p.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-SELF_NESTED = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: An open element of the first kind ends where a new one opens, unless one of the second kind opened in between.
+SELF_NESTED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
+}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"=\s*([\"'])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -58,99 +70,267 @@ def names_of(attributes: str) -> tuple[tuple[str, ...], str]:
     return tuple(out), mark
 
 
+class Scanner:
+    """Where tags and skipped elements of a page end, each found in time linear in what is passed over."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.absent: set[str] = set()  # controls of which no start or end tag follows any more
+        self.ends: dict[str, re.Pattern] = {}
+
+    def tag(self, at: int) -> int:
+        """The > that ends a tag whose name ends at `at`, quoted attribute values passed over; -1 if there is none."""
+        stop = self.page.find(">", at)
+        while stop >= 0 and (m := QUOTED.search(self.page, at, stop)):
+            if self.last[m[1]] < m.end():  # a quote that never closes quotes nothing
+                at = m.end()
+                continue
+            at = self.page.find(m[1], m.end()) + 1
+            if at > stop:
+                stop = self.page.find(">", at)
+        return stop
+
+    def raw(self, tag: str, at: int) -> int:
+        """Past the end tag of an element without markup; the end of the page if there is none."""
+        if tag not in self.ends:
+            self.ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+        m = self.ends[tag].search(self.page, at)
+        return self.past(m.end()) if m else len(self.page)
+
+    def control(self, tag: str, at: int) -> int:
+        """Past a control that begins before `at`; one that is never closed holds only the text up to the next tag."""
+        m = None if tag in self.absent else CONTROLS[tag].search(self.page, at)
+        if m and m[1]:
+            return self.past(m.end())
+        if m and tag == "option":
+            return m.start()
+        if not m:
+            self.absent.add(tag)
+        if tag == "select":
+            return at
+        stop = self.page.find("<", at)
+        return len(self.page) if stop < 0 else stop
+
+    def past(self, at: int) -> int:
+        stop = self.page.find(">", at)
+        return len(self.page) if stop < 0 else stop + 1
+
+
+class Open:
+    """Open tags with their block elements, and where each name is open, so that no search walks the stack."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, int]] = [("#page", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.solid = [0]  # places of tags that part blocks
+        self.links = 0
+
+    def push(self, tag: str, block: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.solid.append(len(self.tags))
+        self.links += tag == "a"
+        self.tags.append((tag, block))
+
+    def place(self, *names: str) -> int:
+        """Where the innermost of these is open; -1 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            self.drop()
+
+    def drop(self) -> None:
+        tag, _ = self.tags.pop()
+        if tag:
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            if tag not in INLINE:
+                self.solid.pop()
+
+    def close_inline(self, tag: str) -> None:
+        """Close the innermost such tag inside the innermost block; tags opened after it stay open."""
+        place = self.place(tag)
+        if place <= self.solid[-1]:
+            return
+        self.tags[place] = ("", self.tags[place][1])
+        self.at[tag].pop()
+        self.links -= tag == "a"
+        while not self.tags[-1][0]:
+            self.tags.pop()
+
+
+class Scanner:
+    """Where tags and skipped elements of a page end, each found in time linear in what is passed over."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.absent: set[str] = set()  # controls of which no start or end tag follows any more
+        self.ends: dict[str, re.Pattern] = {}
+
+    def tag(self, at: int) -> int:
+        """The > that ends a tag whose name ends at `at`, quoted attribute values passed over; -1 if there is none."""
+        stop = self.page.find(">", at)
+        while stop >= 0 and (m := QUOTED.search(self.page, at, stop)):
+            if self.last[m[1]] < m.end():  # a quote that never closes quotes nothing
+                at = m.end()
+                continue
+            at = self.page.find(m[1], m.end()) + 1
+            if at > stop:
+                stop = self.page.find(">", at)
+        return stop
+
+    def raw(self, tag: str, at: int) -> int:
+        """Past the end tag of an element without markup; the end of the page if there is none."""
+        if tag not in self.ends:
+            self.ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+        m = self.ends[tag].search(self.page, at)
+        return self.past(m.end()) if m else len(self.page)
+
+    def control(self, tag: str, at: int) -> int:
+        """Past a control that begins before `at`; one that is never closed holds only the text up to the next tag."""
+        m = None if tag in self.absent else CONTROLS[tag].search(self.page, at)
+        if m and m[1]:
+            return self.past(m.end())
+        if m and tag == "option":
+            return m.start()
+        if not m:
+            self.absent.add(tag)
+        if tag == "select":
+            return at
+        stop = self.page.find("<", at)
+        return len(self.page) if stop < 0 else stop
+
+    def past(self, at: int) -> int:
+        stop = self.page.find(">", at)
+        return len(self.page) if stop < 0 else stop + 1
+
+
+class Open:
+    """Open tags with their block elements, and where each name is open, so that no search walks the stack."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, int]] = [("#page", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.solid = [0]  # places of tags that part blocks
+        self.links = 0
+
+    def push(self, tag: str, block: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.solid.append(len(self.tags))
+        self.links += tag == "a"
+        self.tags.append((tag, block))
+
+    def place(self, *names: str) -> int:
+        """Where the innermost of these is open; -1 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            self.drop()
+
+    def drop(self) -> None:
+        tag, _ = self.tags.pop()
+        if tag:
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            if tag not in INLINE:
+                self.solid.pop()
+
+    def close_inline(self, tag: str) -> None:
+        """Close the innermost such tag inside the innermost block; tags opened after it stay open."""
+        place = self.place(tag)
+        if place <= self.solid[-1]:
+            return
+        self.tags[place] = ("", self.tags[place][1])
+        self.at[tag].pop()
+        self.links -= tag == "a"
+        while not self.tags[-1][0]:
+            self.tags.pop()
+
+
 def parse(page: str) -> Tree:
-    """Forgiving parser: unclosed and stray tags end where a browser would end them, near enough."""
-    tree = Tree()
-    open_tags: list[tuple[str, int]] = [("#page", 0)]  # tag and its block element
+    """Forgiving parser: unclosed and stray tags end where a browser would end them, near enough; linear in the page."""
+    tree, scan, open_tags = Tree(), Scanner(page), Open()
     text: list[str] = []
-    links = 0
-    at = 0
+    size, at, tags_follow = len(page), 0, True
+
+    def add(data: str) -> None:
+        text.append(data)
+        block = open_tags.tags[-1][1]
+        tree.chars[block] += len(data)
+        if open_tags.links:
+            tree.link_chars[block] += len(data)
 
     def close_block() -> None:
         if text:
             own = " ".join(html.unescape("".join(text)).split())
             if own:
-                tree.blocks.append((open_tags[-1][1], own))
+                tree.blocks.append((open_tags.tags[-1][1], own))
             text.clear()
 
-    def pop_to(i: int) -> None:
-        nonlocal links
+    def pop_to(place: int) -> None:
         close_block()
-        links -= sum(t == "a" for t, _ in open_tags[i:])
-        del open_tags[i:]
+        open_tags.pop_to(place)
 
-    size = len(page)
-    lowered = ""
     while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            data = m[0]
-            if data[0] != "<" or data == "<":
-                text.append(data)
-                n, block = len(data), open_tags[-1][1]
-                tree.chars[block] += n
-                if links:
-                    tree.link_chars[block] += n
+        begin = page.find("<", at)
+        if begin != at:
+            begin = size if begin < 0 else begin
+            add(page[at:begin])
+            at = begin
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            at = scan.past(at)
             continue
-        tag = name.lower()
+        m = START.match(page, at) if tags_follow else None
+        end = scan.tag(m.end()) if m else -1
+        if end < 0:
+            tags_follow = tags_follow and not m
+            add("<")
+            at += 1
+            continue
+        tag, attributes, at = m[2].lower(), page[m.end() : end], end + 1
         if m[1]:
             if tag in INLINE:
-                if tag != "a" or links:
-                    for i in range(len(open_tags) - 1, 0, -1):
-                        if open_tags[i][0] == tag:
-                            if all(t in INLINE for t, _ in open_tags[i:]):
-                                links -= tag == "a"
-                                del open_tags[i]
-                            break
-                        if open_tags[i][0] not in INLINE:
-                            break
-                continue
-            if tag == "br":
-                close_block()
-                continue
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == tag:
-                    pop_to(i)
-                    break
+                open_tags.close_inline(tag)
+            elif tag != "br" and (place := open_tags.place(tag)) > 0:
+                pop_to(place)
             else:
                 close_block()
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                lowered = lowered or page.lower()
-                end = lowered.find(f"</{tag}", at)
-                at = size if end < 0 else (lowered.find(">", end) + 1 or size)
-            if tag not in INLINE and tag in ("title", "svg", "math"):
-                pass
+            if not attributes.endswith("/"):
+                at = scan.raw(tag, at)
+            continue
+        if tag in CONTROLS:
+            at = scan.control(tag, at)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 close_block()
             continue
         if tag in INLINE:
-            if tag == "a":
-                links += 1
-            open_tags.append((tag, open_tags[-1][1]))
+            if not attributes.endswith("/") or tag == "a":
+                open_tags.push(tag, open_tags.tags[-1][1])
             continue
         close_block()
         if tag in ENDS_P:
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == "p":
-                    pop_to(i)
-                    break
-                if open_tags[i][0] not in INLINE:
-                    break
+            if open_tags.tags[open_tags.solid[-1]][0] == "p":
+                pop_to(open_tags.solid[-1])
         elif tag in SELF_NESTED:
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == tag or (tag in ("dd", "dt") and open_tags[i][0] in ("dd", "dt")) or (tag in ("td", "th") and open_tags[i][0] in ("td", "th")):
-                    pop_to(i)
-                    break
-                if open_tags[i][0] in SELF_NESTED[tag]:
-                    break
-        parent = open_tags[-1][1]
-        names, mark = names_of(m[3])
+            ended, bounds = SELF_NESTED[tag]
+            if (place := open_tags.place(*ended)) > max(0, open_tags.place(*bounds)):
+                pop_to(place)
+        parent = open_tags.tags[-1][1]
+        names, mark = names_of(attributes)
         tree.tags.append(tag)
         tree.names.append(names)
         tree.parents.append(parent)
@@ -158,8 +338,8 @@ def parse(page: str) -> Tree:
         tree.chars.append(0)
         tree.link_chars.append(0)
         tree.marks.append(mark)
-        if not m[3].endswith("/"):
-            open_tags.append((tag, len(tree.tags) - 1))
+        if not attributes.endswith("/"):
+            open_tags.push(tag, len(tree.tags) - 1)
     close_block()
     return tree
 

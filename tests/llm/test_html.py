@@ -64,6 +64,53 @@ def test_training_raises_accuracy():
     assert np.mean(good) > 0.97
 
 
+def article(body):
+    words = "The council met on Monday to talk about the new bridge over the river and its cost."
+    return f"<html><body><nav><a href='/'>Home</a></nav><article><h1>News</h1><p>{words}</p>{body}<p>{words}</p></article><footer>Imprint</footer></body></html>", f"News {words} ", f" {words}"
+
+
+@pytest.mark.parametrize("body,want", [
+    ("<p>" + "İ" * 40 + " Istanbul grows every year by many people.</p><script>var y</script><p>So the city builds.</p>", "İ" * 40 + " Istanbul grows every year by many people. So the city builds."),
+    ("<p>one comes first of all</p><datalist><option>a<option>b</datalist><p>two comes after it</p>", "one comes first of all two comes after it"),
+    ("<p>one comes first of all</p><button>Press <p>two comes after it</p>", "one comes first of all two comes after it"),
+    ("<p>one comes <button type=x>not <b>this</b></button>first of all</p><select><option>x</option><option>y</select><p>two comes after it</p>", "one comes first of all two comes after it"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold from here on.</p>", "Let x=2 hold from here on."),
+    ("<p title=it's>a quote that never closes</p><p>and more text here</p>", "a quote that never closes and more text here"),
+    ("<p>a < b and b > c for all of them</p>", "a < b and b > c for all of them"),
+    ("<p data-x='>'>a mark in a quoted value</p>", "a mark in a quoted value"),
+])
+def test_nothing_of_the_article_is_lost(body, want):
+    page, before, after = article(body)
+    assert extract([page], standard_model()) == [before + want + after]
+
+
+@pytest.mark.parametrize("page", [
+    'i<n; j = "a" ' * 80_000, "<div>" * 20_000 + "</i></ul>" * 20_000, "<li><ul>" + "<div>" * 5_000 + "<li></li>" * 20_000, "<i>" * 20_000 + "<b>" * 20_000 + "</i>" * 20_000,
+    '<a x="" ' * 100_000 + ">", '<a x=" >' * 80_000, "<button>x" * 60_000, "<option>x" * 60_000, "<!--" * 100_000, "<a<a" * 200_000, "<p a='>" * 100_000,
+])
+def test_broken_markup_is_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 3
+
+
+def test_extraction_by_brute_force():
+    """The text of a page is that of the elements whose marginal, summed over all labellings, reaches a half."""
+    model = standard_model()
+    for page in ("<nav><a>x</a></nav><article><p>Some longer text of an article, in one part.</p></article>", "<div class=ad>Buy</div><p>Words and words and words.</p><footer>c</footer>", "<ul><li><a>m</a><li><a>n</a></ul><p>t</p>"):
+        tree = parse(page)
+        forest = Forest([tree], model.vocabulary)
+        unary, n = forest.unary(model.weights), len(tree.tags)
+        one, total = np.zeros(n), 0.0
+        for labels in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(u * x for u, x in zip(unary, labels, strict=True)) + sum(model.edge[forest.kind[i], labels[tree.parents[i]], labels[i]] for i in range(1, n)))
+            one, total = one + weight * np.array(labels), total + weight
+        want = " ".join(text for element, text in tree.blocks if one[element] / total >= 0.5)
+        assert extract([page], model) == [want]
+
+
 @pytest.mark.parametrize("page", ["", "plain text", "<", "<p", "<p>a<div>b</p>c</div>", "</div></p>x", "<a><b><p>q", "<script>never ends", "<table><tr><td>1<td>2<tr><td>3</table>", "<!-- open", "<p>" * 3000 + "deep", "a" * 200_000])
 def test_broken_pages(page):
     extract([page], standard_model())
