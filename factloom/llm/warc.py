@@ -9,7 +9,8 @@ makes safe against lost executors; `export_archives` copies them out as files an
 takes files from any such folder.
 
 Reader: loads the dictionary from the leading frame, decodes frame by frame, and checks the version
-line, header lines, record and block lengths and payload digests; a record that fails raises.
+line, header lines, record and block lengths and payload digests; a record that fails raises. It
+reads forward in pieces, so `read_files` takes archives of any size and holds one record at a time.
 
 Defined results: a null html is an empty payload; rows that repeat a page_id with one payload are
 responses alike if theirs is the smallest id; null page_ids rank last; an empty table gives no rows.
@@ -18,16 +19,18 @@ responses alike if theirs is the smallest id; null page_ids rank last; an empty
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import BATCH_BYTES, saved, small_batches, table
 
 MAGIC = 0x184D2A5D
 MIN_REVISIT = 100
@@ -35,6 +38,8 @@ ARCHIVE_BYTES = 8 << 20
 #: The dictionary is trained on so many payloads (first by hash of their digest), each cut to so many bytes.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
 LEVEL = 3
+#: Bytes that the reader takes from an archive at a time, and feeds to a new frame first.
+PIECE, FIRST_PIECE = 1 << 20, 2048
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -106,31 +111,49 @@ def parsed(data: bytes) -> tuple:
     return page_of(fields["warc-record-id"]), fields["warc-target-uri"], size, digest, kind, refers, payload
 
 
-def read_archive(content: bytes) -> Iterator[bytes]:
-    """Decoded records of an archive, one per frame."""
-    magic, size = struct.unpack_from("<II", content)
-    if magic != MAGIC or 8 + size > len(content):
+def read_archive(archive: BinaryIO | bytes) -> Iterator[bytes]:
+    """Decoded records of an archive, one per frame. Reads forward, and holds one record at a time."""
+    archive = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    magic, size = struct.unpack("<II", archive.read(8).ljust(8, b"\0"))
+    words = archive.read(size) if magic == MAGIC else b""
+    if magic != MAGIC or len(words) < size:
         raise ValueError("no dictionary in a leading skippable frame")
-    words = content[8 : 8 + size]
     if words[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may itself be compressed
         words = zstandard.ZstdDecompressor().decompress(words)
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdDecompressor()
-    at = 8 + size
-    while at < len(content):
-        frame = decoder.decompressobj()
-        data = frame.decompress(content[at:])
-        if not frame.eof:
-            raise ValueError("an unfinished frame")
-        yield data
-        at = len(content) - len(frame.unused_data)
+    held, at = b"", 0
+    while True:
+        if at == len(held):
+            held, at = archive.read(PIECE), 0
+            if not held:
+                return
+        # pieces double in size: what is fed past a frame's end is never much more than the frame
+        frame, parts, step = decoder.decompressobj(), [], FIRST_PIECE
+        while not frame.eof:
+            if at == len(held):
+                held, at = archive.read(PIECE), 0
+                if not held:
+                    raise ValueError("an unfinished frame")
+            piece = memoryview(held)[at : at + step]
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+            step = min(2 * step, PIECE)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
+
+
+#: What any record holds, the dictionary where there are no pages to learn one from.
+COMMON_BYTES = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\n<!DOCTYPE html><html><head><title></title></head><body><p></p></body></html>"
 
 
 def trained(payloads: list[bytes]) -> bytes:
-    """A dictionary from sample payloads; empty if there are too few to train on."""
+    """A dictionary from sample payloads; the payloads themselves if they are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes() if len(payloads) >= 8 else b""
+        if len(payloads) >= 8:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    return (COMMON_BYTES + b"".join(payloads))[:DICTIONARY_BYTES]
 
 
 def packed(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordBatch]:
@@ -157,19 +180,29 @@ def packed(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.Recor
         yield archive()
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def records_of(archive: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """The parsed records of an archive, in batches of bounded rows and bytes."""
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for data in read_archive(archive):
+        rows.append(parsed(data))
+        held += len(data)
+        if len(rows) == 1000 or held > BATCH_BYTES:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
-            rows = []
-            for data in read_archive(content.as_py()):
-                rows.append(parsed(data))
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield from records_of(io.BytesIO(content.as_py()))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -193,6 +226,23 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(unpacked, RECORDS)
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the archive files below a path, whatever their size: each is opened and read forward by its task."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+                with store.open_input_stream(name, compression=None) as archive:
+                    yield from records_of(archive)
+
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(opened, RECORDS)
+
+
 def export_archives(archives: DataFrame, uri: str) -> DataFrame:
     """Write each archive as <uri>/<archive>.warc.zst; any file system pyarrow knows. Returns their names."""
 

@@ -5,7 +5,7 @@ import pytest
 import zstandard
 
 from factloom.llm import warc
-from factloom.llm.warc import MIN_REVISIT, export_archives, read_archive, read_archives, write_archives
+from factloom.llm.warc import MIN_REVISIT, export_archives, read_archive, read_archives, read_files, write_archives
 
 SCHEMA = "page_id long, url string, html string, digest string"
 
@@ -61,6 +61,7 @@ def test_frames_and_faults(spark, tmp_path):
     files = spark.read.format("binaryFile").load(f"{tmp_path}/files")
     assert files.count() == len(names) == table.count()
     assert read_archives(files).count() == pages(spark).count()
+    assert sorted(map(str, read_files(spark, f"{tmp_path}/files").collect())) == sorted(map(str, read_archives(table).collect()))
 
 
 def test_compressed_dictionary():
@@ -73,3 +74,31 @@ def test_compressed_dictionary():
 
 def test_empty(spark):
     assert read_archives(write_archives(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_large_archives_are_read_forward_in_pieces(monkeypatch):
+    import io
+    import time
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    lead = (0x184D2A5D).to_bytes(4, "little") + (0).to_bytes(4, "little")
+    coder = zstandard.ZstdCompressor()
+    rng = random.Random(1)
+    payloads = [rng.randbytes(rng.choice([0, 30, 300, 3000])) for _ in range(20_000)] + [rng.randbytes(5_000_000), b"x" * 3_000_000]
+    archive = Counted(lead + b"".join(coder.compress(p) for p in payloads))
+    began = time.process_time()
+    assert list(read_archive(archive)) == payloads
+    assert time.process_time() - began < 5 and archive.most <= warc.PIECE
+
+
+def test_a_dictionary_always_leads(spark):
+    few = spark.createDataFrame([(1, "u", "<p>a</p>", "c")], SCHEMA)
+    content = bytes(write_archives(few).first().content)
+    assert int.from_bytes(content[4:8], "little") > 100
+    assert [r.payload for r in read_archives(write_archives(few)).collect()] == [b"<p>a</p>"]
