@@ -6,8 +6,9 @@ of its sentences: 1 - prod(1 - p). Weights are fitted by gradient ascent on the
 alone; afterwards the sentence scores locate what offends.
 
 Fit: on at most MAX_DOCS labelled rows outside the held-out quarter (first by hash of the id), whole
-texts. Candidate features are those clearly likelier in toxic documents, counted on executors and
-merged on the driver; only they take part in the fit. Scoring runs over every whole text.
+texts. Candidate features are those clearly likelier in toxic documents, counted and chosen on
+executors; they alone, and where they occur in those rows, reach the driver, which ascends the
+likelihood. Scoring runs over every whole text.
 
 Defined results: null and empty texts score 0; unlabelled and null-labelled rows don't take part in
 the fit; without a labelled toxic row every score is 0; a null doc_id isn't held out; rows that
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packed
 from .common import Texts, _table, mask_of, mix, small_batches, table, texts_of
 from .decontaminate import BREAK, FOLD
 
@@ -83,22 +85,37 @@ def parted(column: pa.Array) -> tuple[Texts, np.ndarray]:
     return Texts(column, BREAK, FOLD), STOP[raw.data]
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: feature, in how many toxic documents, in how many others."""
-    keys, toxic = [], []
+#: What the counting tasks send: feature, in how many toxic documents, in how many others.
+COUNTS = {"key": "<u8", "bad": "<i8", "good": "<i8"}
+
+
+def summed_up(keys: list[np.ndarray], bad: list[np.ndarray], good: list[np.ndarray]) -> dict[str, np.ndarray]:
+    own, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = lambda x: np.bincount(back, weights=np.concatenate(x), minlength=len(own)).astype(np.int64)
+    return {"key": own, "bad": total(bad), "good": total(good)}
+
+
+def counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Features by bucket, with how many toxic and other documents of the batch hold them."""
     for batch in batches:
         texts, _ = parted(batch.column(1))
-        label, owner = batch.column(2).to_numpy(zero_copy_only=False), texts.owner()
+        label, owner = batch.column(2).to_numpy(zero_copy_only=False) > 0, texts.owner()
+        keys, toxic = [], []
         for words, own in features(texts):
             pairs = np.unique(np.stack([own, owner[words].astype(np.uint64)], axis=1), axis=0)
             keys.append(pairs[:, 0])
             toxic.append(label[pairs[:, 1].astype(np.int64)])
-    if keys:
-        own, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n, bad = np.bincount(back), np.bincount(back, weights=np.concatenate(toxic))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x.tobytes()], pa.binary()) for x in (own.astype("<u8"), bad.astype("<i8"), (n - bad).astype("<i8"))], names=["key", "bad", "good"]
-        )
+        out = summed_up(keys, toxic, [~x for x in toxic])
+        yield packed.split((out["key"] % np.uint64(n)).astype(np.int64), out, COUNTS)
+
+
+def candidates(batches: Iterator[pa.RecordBatch], toxic: int, others: int) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, the features clearly likelier in toxic documents, with their lift."""
+    for got in packed.by_bucket(batches, COUNTS):
+        own = summed_up([got["key"]], [got["bad"]], [got["good"]])
+        lift = (own["bad"] / max(1, toxic)) / ((own["good"] + 0.5) / max(1, others))
+        keep = (own["bad"] >= MIN_DOCS) & (lift >= MIN_LIFT)
+        yield pa.RecordBatch.from_arrays([pa.array(own["key"][keep].view(np.int64)), pa.array(lift[keep])], names=["key", "lift"])
 
 
 def bags(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -159,19 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     known = known.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # a bounded side
     rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    parts = rows.mapInArrow(counted, "key binary, bad binary, good binary").collect()
-    if not parts:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    key, bad, good = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in ((0, "<u8"), (1, "<i8"), (2, "<i8")))
-    key, back = np.unique(key, return_inverse=True)
-    bad, good = np.bincount(back, weights=bad), np.bincount(back, weights=good)
-    del parts, back
     counts = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
-    lift = (bad / max(1, counts.get(1, 0))) / ((good + 0.5) / max(1, counts.get(0, 0)))
-    keep = (bad >= MIN_DOCS) & (lift >= MIN_LIFT)
-    key, lift = key[keep], lift[keep]
+    n = packed.partitions(docs.sparkSession)
+    dealt = packed.dealt(rows.mapInArrow(lambda it: counted(it, n), packed.schema(COUNTS))).sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(lambda it: candidates(it, counts.get(1, 0), counts.get(0, 0)), "key long, lift double").toArrow()
+    key, lift = found["key"].to_numpy().view(np.uint64), found["lift"].to_numpy()
     if not len(key):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    order = np.argsort(key)
+    key, lift = key[order], lift[order]
     shared = docs.sparkSession.sparkContext.broadcast(key)
     found = rows.mapInArrow(lambda it: bags(it, shared.value), "toxic int, n int, sentence binary, slot binary").collect()
     sizes = [len(r.slot) // 4 for r in found]

@@ -63,3 +63,28 @@ def test_awkward_rows(spark):
     assert len(rows) == docs.count() and all(0 <= r.score < 0.3 for r in rows)
     assert toxicity(empty(spark), marks).count() == 0
     assert toxicity(docs, marks.where("false")).where("score > 0.01").count() == 0
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """Scores worked out again, word by word, from the fitted weights."""
+    import math
+    import re
+
+    from factloom.llm.toxicity import PREFIXES, features
+
+    docs, marks = corpus(spark, 300)
+    model = fit(docs, marks)
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def keys(word):
+        return [int(k) for _, own in features(parted(pa.array([word]))[0]) for k in own]
+
+    assert len(keys("grobl")) == 1 + sum(len("grobl") > k for k in PREFIXES)
+    got = {r.doc_id: r.score for r in toxicity(docs, marks).collect()}
+    for r in docs.collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", r.text):
+            words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", sentence)
+            if words:
+                none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weights.get(k, 0.0) for w in words for k in keys(w.lower())))))
+        assert abs(got[r.doc_id] - (1 - none)) < 1e-9
