@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from factloom.llm import decontaminate as decontamination
 from factloom.llm.decontaminate import decontaminate
 
 from .docs import awkward, empty
@@ -35,7 +36,7 @@ def key(row):
     return str(row)
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     docs = awkward(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     source = [t for _, t in rows if t and len(t.split()) > 30]
@@ -43,9 +44,14 @@ def test_matches_brute_force(spark):
     items += [(100, None), (101, ""), (102, "w1 w2"), (103, "W1 É"), (104, items[5][1]), (10, items[4][1]), (105, "w1 " * 15)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute(rows, [(str(i), t) for i, t in items]), key=key)
-    for size in (1 << 20, 60):  # one block, and many
-        got = decontaminate(docs, bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-        assert sorted(map(tuple, got.collect()), key=key) == want
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for bits in (24, 15):  # a bitmap that sorts most out, and one that is nearly full
+        monkeypatch.setattr(decontamination, "BITS", bits)
+        got = decontaminate(docs, bench)
+        assert sorted(map(tuple, got.select(*columns).collect()), key=key) == want
+    kept = decontaminate(docs, bench, keep_rows=True)
+    assert sorted(map(tuple, kept.select(*columns).collect()), key=key) == want
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, rows))
     assert sum(r[5] for r in want) > 20
 
 
