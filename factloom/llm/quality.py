@@ -3,7 +3,8 @@
 Two multinomials over hashed n-grams of NGRAM bytes are counted: one over every document (raw), one
 over the documents that `labels` marks as trusted (quality = 1). A document's score is the mean over
 its n-grams of log p_target - log p_raw; it is kept when the score reaches `threshold` and the
-base rules hold. The verdict depends on the tables alone: no sampling, no randomness.
+base rules hold. The verdict depends on the tables alone: no sampling, no randomness, and the ratios are
+integers (units of 1 / UNIT), so that sums don't depend on the order or on which rows share a batch.
 
 Defined results: a null text has no words; a document shorter than an n-gram scores 0; one
 without words fails the base rules; repeated rows are counted and judged like any other row; an empty table gives no rows.
@@ -28,6 +29,8 @@ THRESHOLD = -0.7
 SYMBOLS = mask_of(b"#*$%&|<>")
 CONTINUATION = mask_of(bytes(range(0x80, 0xC0)))
 MIN_WORDS = 50
+#: Log ratios are held as integers, in this part of one.
+UNIT = 1 << 24
 
 COUNTS = "counts array<bigint>"
 #: Tasks that sum what the counting tasks found.
@@ -117,8 +120,8 @@ def scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, threshold: floa
     for batch in batches:
         texts = Texts(batch.column(1))
         buckets, begins, ends = gram_buckets(texts)
-        total = np.concatenate([[0.0], np.cumsum(ratio[buckets])])
-        score = (total[ends] - total[begins]) / np.maximum(ends - begins, 1)
+        total = np.concatenate([[0], np.cumsum(ratio[buckets])])
+        score = (total[ends] - total[begins]) / (np.maximum(ends - begins, 1) * UNIT)
         out = base_rules(batch.column(1), texts)
         out |= {"score": score, "kept": ~out["base_failed"] & (score >= threshold)}
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], names=["doc_id", *out])
@@ -137,12 +140,13 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of every bucket, each smoothed by one count a bucket."""
+    """log p_target - log p_raw of every bucket, each smoothed by one count a bucket; in integers of 1 / UNIT."""
     target = bucket_counts(trusted(docs, labels))
     if target.sum() == BUCKETS:  # nothing is trusted: no evidence against any text
-        return np.zeros(BUCKETS)
+        return np.zeros(BUCKETS, np.int64)
     raw = bucket_counts(texts_of(docs))
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return np.rint(ratio * UNIT).astype(np.int64)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_rows: bool = False) -> DataFrame:
