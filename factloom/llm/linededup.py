@@ -1,15 +1,15 @@
 """Line dedup by content-defined chunks, in DataFrame expressions only.
 
-Each line has a 48-bit hash; a rolling hash over two lines in a row ends a chunk after the second
-whenever it is divisible by DIVISOR, so boundaries move with the lines and not with their position.
-A chunk of at least MIN_LINES lines, one of them not blank, that occurs anywhere before (smaller
-doc_id, then earlier in the document) is removed once its bytes have been compared with those of
-its first occurrence.
+Each line has a 48-bit hash; a rolling hash over two lines in a row hits whenever it is divisible by
+DIVISOR. A chunk ends after a line where the hash hits and that of the line before does not, and
+never directly before the last line, so boundaries move with the lines and not with their position,
+and every chunk of a text of two lines or more has at least two. A chunk of at least MIN_LINES lines,
+one of them not blank, that occurs anywhere before (smaller doc_id, then earlier in the document) is
+removed once its bytes have been compared with those of its first occurrence. So an exact copy of a
+text of several lines leaves nothing but blank chunks.
 
-With that rule a chunk may be one line, where two lines in a row hit or the last is left over, and
-such a chunk is never removed. With `whole` a chunk ends only where the hash is divisible and that
-of the line before is not, and never directly before the last line: every chunk of a text of two
-lines or more has at least two, so an exact copy of it leaves nothing but blank chunks.
+With `whole=False` a chunk ends after every line where the hash hits; it may then be one line, and
+such a chunk is never removed.
 
 Steps: hashes of chunks alone are counted (pre-aggregated before the shuffle); texts move once to
 meet the marks of repeated chunks, which are compared byte for byte with the first occurrence, and
@@ -41,7 +41,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def with_chunks(rows: DataFrame, whole: bool = False) -> DataFrame:
+def with_chunks(rows: DataFrame, whole: bool = True) -> DataFrame:
     """Adds lines, and stops: the line after which each chunk ends.
 
     Each array is used as a whole: inside a lambda the optimizer would put its whole expression, to
@@ -70,7 +70,7 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "no")
 
 
-def repeated(docs: DataFrame, whole: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, key, no of each chunk to remove."""
     hashed = chunks(with_chunks(keyed(docs), whole)).select(
         "doc_id", "key", "no", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2")
@@ -88,7 +88,7 @@ def repeated(docs: DataFrame, whole: bool = False) -> DataFrame:
     return texts.where("not is_first").join(firsts, ["h1", "h2"]).where("chunk = first_chunk").select("doc_id", "key", "no")
 
 
-def line_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_removed of every row of docs, and its other columns in `rest`."""
     marks = repeated(docs, whole).groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
     marks = marks.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "gone")
@@ -119,8 +119,9 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(line_dedup(table(spark, sf_dir, "documents")))
 
 
-def line_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(line_dedup(table(spark, sf_dir, "documents"), whole=True))
+def line_chunks_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_line_chunks, by chunks that may be one line."""
+    return digests(line_dedup(table(spark, sf_dir, "documents"), whole=False))
 
 
 def digests(out: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def digests(out: DataFrame) -> DataFrame:
 OP10_SQL = f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
 m as (select doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 12))::bigint) m from d),
-s as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) or (i > 1 and (m[greatest(i - 1, 1)] * 31 + m[i]) % {DIVISOR} = 0)) s from m),
+h as (select doc_id, l, list_transform(range(1, len(l) + 1), lambda i: i > 1 and (m[greatest(i - 1, 1)] * 31 + m[i]) % {DIVISOR} = 0) h from m),
+s as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) or (i <> len(l) - 1 and h[i] and not h[greatest(i - 1, 1)])) s from h),
 c as (select doc_id, l, s, unnest(range(1, len(s) + 1)) k from s),
 t as (select doc_id, k, case when k = 1 then 0 else s[k - 1] end a, s[k] b, l from c),
 x as (select doc_id, k, b - a n, array_to_string(l[a + 1:b], chr(10)) txt from t),
@@ -141,12 +143,11 @@ select doc_id, sum(n)::bigint n_lines, coalesce(sum(n) filter (gone), 0)::bigint
 from g group by doc_id
 """
 
-#: As OP10_SQL, by the rule of `whole`.
-WHOLE_SQL = f"""
+#: As OP10_SQL, by the rule of whole=False.
+ANY_SQL = f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
 m as (select doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 12))::bigint) m from d),
-h as (select doc_id, l, list_transform(range(1, len(l) + 1), lambda i: i > 1 and (m[greatest(i - 1, 1)] * 31 + m[i]) % {DIVISOR} = 0) h from m),
-s as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) or (i <> len(l) - 1 and h[i] and not h[greatest(i - 1, 1)])) s from h),
+s as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) or (i > 1 and (m[greatest(i - 1, 1)] * 31 + m[i]) % {DIVISOR} = 0)) s from m),
 c as (select doc_id, l, s, unnest(range(1, len(s) + 1)) k from s),
 t as (select doc_id, k, case when k = 1 then 0 else s[k - 1] end a, s[k] b, l from c),
 x as (select doc_id, k, b - a n, array_to_string(l[a + 1:b], chr(10)) txt from t),

@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from factloom.llm import linededup
-from factloom.llm.linededup import WHOLE_SQL, line_chunks_whole, line_dedup
+from factloom.llm.linededup import ANY_SQL, OP10_SQL, line_chunks_any, line_dedup, op10_line_chunks
 
 from .docs import SCHEMA, awkward, empty
 from .test_linededup import brute, corpus
@@ -31,18 +31,18 @@ def test_matches_brute_force(spark, monkeypatch):
     docs = corpus(spark)
     rows = docs.select("doc_id", "text").collect()
     monkeypatch.setattr("tests.llm.test_linededup.chunked", chunked)
-    got = line_dedup(docs, whole=True).select("doc_id", "text", "n_lines", "n_removed").collect()
+    got = line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows)
-    assert line_dedup(empty(spark), whole=True).count() == 0
+    assert line_dedup(empty(spark)).count() == 0
 
 
 def test_exact_multi_line_copies_leave_nothing(spark):
     rng = random.Random(2)
     texts = ["\n".join(f"line {i} {rng.randrange(9)}" for _ in range(rng.randrange(2, 40))) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
-    left = {r.doc_id: r.text for r in line_dedup(docs, whole=True).collect()}
+    left = {r.doc_id: r.text for r in line_dedup(docs).collect()}
     assert all(left[i] == "" for i in range(60, 120))
-    assert any(r.text for r in line_dedup(docs).where("doc_id >= 60").collect())  # what the other rule leaves
+    assert any(r.text for r in line_dedup(docs, whole=False).where("doc_id >= 60").collect())  # what the other rule leaves
 
 
 def test_one_document_per_copy_group_survives(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_one_document_per_copy_group_survives(spark, tmp_path):
     group = {}
     for r in sorted((r for r in now.collect() if r.text and "\n" in r.text and r.doc_id is not None), key=lambda r: r.doc_id):
         group.setdefault(r.text, set()).add(r.doc_id)
-    for name, stage in pipeline.WHOLE_STAGES:
+    for name, stage in pipeline.STAGES:
         if name in ("line dedup", "n-gram Jaccard join"):
             now = spark.createDataFrame(stage(spark, now, "").collect(), SCHEMA)
     left = {r.doc_id for r in now.collect()}
@@ -62,5 +62,6 @@ def test_one_document_per_copy_group_survives(spark, tmp_path):
 def test_matches_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
-    got = line_chunks_whole(spark, f"/root/testdata/{sf}").collect()
-    assert sorted(map(tuple, got)) == sorted(con.sql(WHOLE_SQL).fetchall())
+    for query, sql in ((op10_line_chunks, OP10_SQL), (line_chunks_any, ANY_SQL)):
+        got = query(spark, f"/root/testdata/{sf}").collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(sql).fetchall())
