@@ -28,14 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated line chunks out of the texts; a document of which nothing is left goes."""
-    out = restored(line_dedup(docs).where("n_removed = 0 or trim(text) <> ''"), docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-
-
-def whole_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As line_chunks, by chunks of two lines or more; a document of which only white space is left goes."""
-    out = restored(line_dedup(docs, whole=True).where(F.expr(r"n_removed = 0 or text rlike '\\S'")), docs.columns)
+    """Cut repeated line chunks out of the texts; a document of which only white space is left goes."""
+    out = restored(line_dedup(docs).where(F.expr(r"n_removed = 0 or text rlike '\\S'")), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -65,22 +59,15 @@ STAGES = [
     ("BPE encoding and decoding", encoding),
 ]
 
-#: The same with chunks of which exact copies leave nothing.
-WHOLE_STAGES = [(name, whole_chunks if stage is line_chunks else stage) for name, stage in STAGES]
-
 #: The likelihood ratio, the rolling hashes' 64-bit stages and BPE have no SQL counterpart.
 ORACLE_SQL = None
 
 
-def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, WHOLE_STAGES)
-
-
-def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last goes through a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(stages):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(stages):
+        if i + 1 < len(STAGES):
             docs = saved(docs, name.replace(" ", "-"))
     return docs
