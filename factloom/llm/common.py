@@ -63,10 +63,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie, all in one folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; what was made from them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to a fresh table in the shared folder and read it back."""
+    """Cut the lineage: write df to a fresh table in the application's part of the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

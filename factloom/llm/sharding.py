@@ -16,16 +16,17 @@ included, take neighbouring slots; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ship, table
+from .common import table
 
 SHARDS = 40
 BITS = 4
 PART_ROWS = 50_000
+#: Rows of one file of a shard: no task writes a whole shard.
+FILE_ROWS = 500_000
 
 
 def hilbert_index(coords: list, bits: int):
@@ -52,9 +53,16 @@ def hilbert_index(coords: list, bits: int):
     return index
 
 
-@F.pandas_udf(T.LongType())
-def hilbert(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index([x.to_numpy("int64") for x in (a, b, c)], BITS))
+def curve() -> np.ndarray:
+    """Place on the curve of every cell of the grid, cells numbered by their coordinates, the last fastest."""
+    side = np.arange(1 << BITS, dtype=np.int64)
+    return hilbert_index([c.reshape(-1) for c in np.meshgrid(side, side, side, indexing="ij")], BITS)
+
+
+def hilbert(a: str, b: str, c: str) -> Column:
+    """Place on the curve of three coordinates: a lookup in an array of literals, inside Catalyst."""
+    cell = F.shiftleft(a, 2 * BITS) + F.shiftleft(b, BITS) + F.col(c)
+    return F.get(F.lit(curve()), cell.cast("int"))
 
 
 def category(name: str) -> Column:
@@ -77,7 +85,6 @@ def quantised(docs: DataFrame) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
-    ship(docs.sparkSession)
     total = docs.count()
     parts = max(1, -(-total // PART_ROWS))
     rows = quantised(docs).withColumn("hilbert", hilbert("at_lang", "at_source", "at_size")).withColumn("mark", F.xxhash64("doc_id"))
@@ -107,17 +114,20 @@ def shard_bounds(placed: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write docs as one folder a shard, rows in curve order, with its bounds beside it."""
+    """Write docs as one folder a shard, files of up to FILE_ROWS rows in curve order, with the shards' bounds beside them.
+
+    Rows that agree in doc_id and text are told apart by number, so that each takes a slot of its own.
+    """
+    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    again = F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_slot"))
     placed = sharded(docs, shards)
-    own = placed.select("doc_id", F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    own = own.dropDuplicates(["doc_id", "_crc"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    keyed = docs.withColumn("_crc", crc)
-    joined = keyed.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_crc"] == own["_crc"]))
-    columns = [c for c in docs.columns]
-    joined.select(*columns, "_shard", "_slot").repartition("_shard").sortWithinPartitions("_shard", "_slot").write.mode("overwrite").partitionBy(
-        "_shard"
-    ).parquet(f"{path}/rows")
+    own = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).withColumn("_n", again)
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_own"), crc.alias("_own_crc"))
+    keyed = keyed.withColumn("_own_n", F.row_number().over(Window.partitionBy("_own", "_own_crc").orderBy(F.lit(0))))
+    met = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n"))
+    rows = keyed.join(own, met).select(*(F.col(f"`{c}`") for c in docs.columns), "_shard", "_slot").withColumn("_file", F.expr(f"_slot div {FILE_ROWS}L"))
+    rows = rows.repartition("_shard", "_file").sortWithinPartitions("_shard", "_file", "_slot")
+    rows.drop("_file").write.mode("overwrite").partitionBy("_shard").parquet(f"{path}/rows")
     shard_bounds(placed).write.mode("overwrite").parquet(f"{path}/bounds")
 
 

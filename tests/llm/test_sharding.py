@@ -47,10 +47,13 @@ def test_deterministic_and_missing_columns(spark):
     assert sharded(empty(spark)).count() == 0
 
 
-def test_written_shards_hold_every_row(spark, tmp_path):
+def test_written_shards_hold_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_ROWS", 10)
     docs = awkward(spark).drop("shard")
     write_shards(docs, str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out" / "rows"))
     assert back.count() == docs.count()
+    assert sorted(str((r.doc_id, r.text)) for r in back.collect()) == sorted(str((r.doc_id, r.text)) for r in docs.collect())
+    assert sorted(r._slot for r in back.where("_shard = 0").collect()) == list(range(back.where("_shard = 0").count()))
     assert spark.read.parquet(str(tmp_path / "out" / "bounds")).count() == 5
     assert shard_bounds(sharded(docs, 5)).count() == 5
