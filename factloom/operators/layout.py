@@ -1,9 +1,14 @@
-"""Pages, their offsets and chunks, and rows of scanned fragments."""
+"""Pages, their offsets and chunks, and rows of scanned fragments.
+
+Defined results: a null text counts as an empty page; pages that share a document and number are taken in the order of
+their texts; a document without pages has no rows; quotes under three characters and null ones are found nowhere;
+repeated fragments stay apart; other columns are left aside; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_GAP = 2  # pages are joined by a blank line
@@ -37,15 +42,19 @@ def prompt_body(pages: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(kept, "").alias("body"), (~F.min("fits")).alias("truncated"))
 
 
-def chunks(pages: DataFrame, size: int) -> DataFrame:
-    """Greedy packing of pages into chunks: a page joins the chunk while the sum stays within size. An oversize
-    page is cut at lines first. The fold runs in order over each document's own array."""
-    line = F.split("text", "\n")
-    small = F.aggregate(
-        line, F.array().cast("array<string>"),
+def cut_at_lines(lines: Column, size: int) -> Column:
+    """Lines joined into pieces of up to size characters; a longer line is a piece of its own."""
+    return F.aggregate(
+        lines, F.array().cast("array<string>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 1 + F.length(x) <= size),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), x)))).otherwise(F.array_append(acc, x)),
     )
+
+
+def chunks(pages: DataFrame, size: int) -> DataFrame:
+    """Greedy packing of pages into chunks: a page joins the chunk while the sum stays within size. An oversize
+    page is cut at lines first. The fold runs in order over each document's own array."""
+    small = cut_at_lines(F.split("text", "\n"), size)
     pieces = pages.select("doc_id", "page", F.posexplode(F.when(F.length("text") <= size, F.array("text")).otherwise(small)).alias("piece", "text"))
     rows = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "piece", F.length("text").cast("long").alias("n")))).alias("pages"))
     state = "struct<chunk:int,used:bigint,out:array<struct<page:int,piece:int,chunk:int>>>"
@@ -61,6 +70,16 @@ def chunks(pages: DataFrame, size: int) -> DataFrame:
     return rows.select("doc_id", F.explode(F.aggregate("pages", start, step)["out"]).alias("c")).select("doc_id", "c.page", "c.piece", "c.chunk")
 
 
+def chunk_texts(pages: DataFrame, size: int) -> DataFrame:
+    """doc_id, chunk and the text of each chunk: its pages, or pieces of them, parted by blank lines."""
+    line = F.split("text", "\n")
+    small = cut_at_lines(line, size)
+    pieces = pages.select("doc_id", "page", F.posexplode(F.when(F.length("text") <= size, F.array("text")).otherwise(small)).alias("piece", "text"))
+    rows = chunks(pages, size).join(pieces, ["doc_id", "page", "piece"])
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("page", "piece", "text"))), lambda p: p["text"])
+    return rows.groupBy("doc_id", "chunk").agg(F.array_join(kept, "\n\n").alias("text"))
+
+
 ROWS = "page_id long, row int, text string, x double, y double, w double, h double, confidence double"
 
 
@@ -96,9 +115,37 @@ def sideways(lines: DataFrame) -> DataFrame:
     return long.groupBy("page_id").agg(((F.count(F.lit(1)) >= 2) & (F.avg((F.col("h") > 1.5 * F.col("w")).cast("int")) > 0.6)).alias("sideways"))
 
 
+#: Words of a quote by which it is looked up.
+RUN = 5
+
+
+def word_runs(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and the hash of every run of k words of docs(doc_id, text)."""
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # exploding one row to one row keeps the words from being put into the lambda below, to be cut anew for every run
+    rows = docs.select("doc_id", F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("each"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("each") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("each", i, F.lit(k))))
+    return rows.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def quote_matches(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """docs(doc_id, text) and quotes(item_id, quote): doc_id, item_id and places of each quote in each document that holds it.
+
+    A quote of RUN + 2 words or more is met by the run after its first word, which stands between word ends in every text that
+    holds the quote: an equi-join on its hash, then compared. Shorter ones are held against all documents.
+    """
+    inner = F.filter(F.split("quote", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    run = F.xxhash64(F.slice(F.transform(inner, lambda w: F.xxhash64(w)), 2, RUN))
+    rows = quotes.where(F.length("quote") >= 3).select("item_id", "quote", F.when(F.size(inner) >= RUN + 2, run).alias("run"))
+    met = word_runs(docs, RUN).join(rows.where("run is not null"), "run").select("doc_id", "item_id", "quote").distinct()
+    pairs = met.join(docs, "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id", "text", "quote")
+    short = docs.join(rows.where("run is null").select("item_id", "quote"), F.contains("text", "quote")).select("doc_id", "item_id", "text", "quote")
+    return quote_places(pairs.unionByName(short))
+
+
 def quote_places(pairs: DataFrame) -> DataFrame:
     """pairs(text, quote): places of all occurrences that don't overlap, by splitting at the quote."""
-    parts = F.expr("split(text, '\\\\Q' || quote || '\\\\E', -1)")
+    parts = F.call_function("split", F.col("text"), F.concat(F.lit(r"\Q"), F.replace("quote", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
     fold = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1), F.expr("cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<int>>)"),
         lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length("quote")).cast("int").alias("at"), F.array_append(acc["out"], (acc["at"] + F.length(p)).cast("int")).alias("out")).cast("struct<at:int,out:array<int>>"),

@@ -1,4 +1,9 @@
-"""Obligations: building them from accepted facts, their totals, reminders and re-planning."""
+"""Obligations: building them from accepted facts, their totals, reminders and re-planning.
+
+Defined results: null amounts add nothing and null currencies are a group of their own; a null due date is never
+upcoming, overdue or reminded of; a null status is no open one; repeated rows are counted and planned row by row, but
+reminders of one id once; null ids never match; empty tables give no rows; ties in the reminder plan go by reminder id.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,8 @@ from ..functions import columns as C
 
 
 def money_totals(obligations: DataFrame) -> DataFrame:
-    """Open payments per currency: owed_to_me, i_owe (minor units) and unassigned (a count)."""
+    """Open payments per currency: owed_to_me, i_owe (minor units) and unassigned (a count); other duties carry no money."""
+    obligations = obligations.where(F.col("category") == "payment")
     way = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount_minor")).otherwise(0))
     return obligations.where(C.is_open(F.col("status"))).groupBy("currency").agg(
         way("owed_to_me").alias("owed_to_me"), way("i_owe").alias("i_owe"), F.count_if(F.col("direction") == "unknown").alias("unassigned")
@@ -72,6 +78,7 @@ def plan_reminders(candidates: DataFrame, now: Column, limit: int = 60, hour: in
     rows = rows.withColumn("fire_at", F.timestamp_add("HOUR", F.lit(hour), F.date_sub("due", F.col("days_before")).cast("timestamp"))).where(F.col("fire_at") > now)
     key = F.concat_ws(".", F.lit("reminder"), F.col("obligation_id").cast("string"), F.date_format("due", "yyyy-MM-dd"), F.col("days_before").cast("string"))
     out = rows.select(key.alias("reminder_id"), "obligation_id", "title", C.due_text(F.col("due"), F.col("days_before"), F.col("body")).alias("body"), "due", "days_before", "fire_at")
+    out = out.dropDuplicates(["reminder_id"])
     return out.orderBy("fire_at", "reminder_id").limit(limit)
 
 
@@ -127,17 +134,22 @@ def equivalent(a: str, b: str) -> Column:
     kind, days = x("kind"), lambda f: C.approximate_days(f("term_value"), f("term_unit"))
     words, others = x("words"), y("words")
     both, any_ = F.size(F.array_intersect(words, others)), F.size(F.array_union(words, others))
-    same_day = x("day") == y("day")
+    same_day, two_days = x("day") == y("day"), x("day").isNotNull() & y("day").isNotNull()
     relative = (days(x) == days(y)) & (x("after") == y("after"))
+    due = lambda f: f("day").isNotNull() | f("anchor").isNotNull()
     said = (
         F.when(kind.isin("document_type", "clause"), x("category") == y("category"))
         .when(kind == "title", (F.size(words) > 0) & (both / any_ >= 0.6))
         .when(kind == "party", C.name_similarity_of(x("names"), y("names")) >= C.SAME_NAME)
-        .when(kind.isin("effective_date", "end_date"), F.when(x("day").isNotNull() & y("day").isNotNull(), same_day).otherwise(relative))
+        .when(kind.isin("effective_date", "end_date"), F.when(two_days, same_day).otherwise(relative))
         .when(kind == "total_amount", x("minor") == y("minor"))
         .when(kind == "notice_period", days(x) == days(y))
         .when(kind == "renewal", x("automatic").eqNullSafe(y("automatic")))
-        .when(kind == "payment", x("minor").eqNullSafe(y("minor")) & (same_day | x("day").isNull() | y("day").isNull()))
+        .when(
+            kind == "payment",
+            x("minor").eqNullSafe(y("minor"))
+            & F.when(two_days, same_day).when(x("anchor").isNotNull() & y("anchor").isNotNull(), days(x) == days(y)).otherwise(~due(x) | ~due(y)),
+        )
         .when(kind == "payment_frequency", x("frequency") == y("frequency"))
         .when(kind == "obligation", x("day").eqNullSafe(y("day")) & (F.size(words) > 0) & (both / F.least(F.size(F.array_distinct(words)), F.size(F.array_distinct(others))) >= 0.4))
         .when(kind == "identifier", x("text") == y("text"))
@@ -145,18 +157,89 @@ def equivalent(a: str, b: str) -> Column:
     return F.coalesce((kind == y("kind")) & said, F.lit(False))
 
 
+def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_id, kind, l and r: numbers of the facts of one document and kind that say the same."""
+    side = lambda facts, name: with_words(facts).select("doc_id", "kind", F.struct(*facts.columns, "words", "names").alias(name))
+    met = side(left, "l").join(side(right, "r"), ["doc_id", "kind"]).where(equivalent("l", "r"))
+    return met.select("doc_id", "kind", F.col("l.no").cast("int").alias("l"), F.col("r.no").cast("int").alias("r"))
+
+
+def first_come(pairs: DataFrame) -> DataFrame:
+    """One-to-one among the pairs l, r of each document and kind: in the order of l, each takes its first r still free."""
+    state = "struct<l:array<int>,r:array<int>>"
+    take = lambda acc, p: F.when(
+        F.array_contains(acc["l"], p["l"]) | F.array_contains(acc["r"], p["r"]), acc
+    ).otherwise(F.struct(F.array_append(acc["l"], p["l"]).alias("l"), F.array_append(acc["r"], p["r"]).alias("r")))
+    rows = pairs.groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("l", "r"))).alias("pairs"))
+    folded = F.aggregate("pairs", F.expr(f"cast(named_struct('l', array(), 'r', array()) as {state})"), take)
+    return rows.select("doc_id", folded.alias("t")).select("doc_id", F.explode(F.arrays_zip("t.l", "t.r")).alias("p")).select("doc_id", "p.l", "p.r")
+
+
+def first_said(facts: DataFrame) -> DataFrame:
+    """Facts without those that say the same as an earlier one that stays, by document and kind."""
+    before = alike(facts, facts).where("r < l").groupBy("doc_id", "kind", "l").agg(F.collect_list("r").alias("earlier"))
+    order = before.groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("l", "earlier"))).alias("order"))
+    # earlier ones that aren't in `order` have no earlier equal themselves: they stay
+    gone = F.aggregate(
+        "order", F.expr("cast(array() as array<int>)"),
+        lambda acc, p: F.when(F.size(F.array_except(p["earlier"], acc)) > 0, F.array_append(acc, p["l"])).otherwise(acc),
+    )
+    dropped = order.select("doc_id", F.explode(gone).alias("no"))
+    return facts.join(dropped, ["doc_id", "no"], "left_anti")
+
+
+#: What a rule fact takes over from the model's, where it has none itself.
+FILLED = {
+    "role": ("party", "obligation"), "payer": ("payment",), "payee": ("payment",), "frequency": ("payment", "obligation"), "recurrence_end": ("payment", "obligation"),
+    "automatic": ("renewal",),
+}
+#: Columns that go together: taken over only if all of them are empty.
+DUE, TERM = ("day", "term_value", "term_unit", "after", "anchor"), ("term_value", "term_unit")
+PLACE = ("at", "to", "quote")
+
+
+def enriched(facts: DataFrame) -> DataFrame:
+    """Rule facts with the model fact they were joined with in the struct `more` (null: none)."""
+    out = {c: F.when(F.col("kind").isin(*kinds), F.coalesce(F.col(c), F.col(f"more.{c}"))).otherwise(F.col(c)) for c, kinds in FILLED.items()}
+    for columns, here in ((TERM, F.col("kind") == "renewal"), (DUE, F.col("kind") == "payment"), (PLACE, F.lit(True))):
+        bare = here & F.coalesce(*(F.col(c).cast("string") for c in columns)).isNull()
+        out |= {c: F.when(bare, F.col(f"more.{c}")).otherwise(out.get(c, F.col(c))) for c in columns if columns is not DUE or c not in TERM}
+    dueless = (F.col("kind") == "payment") & F.coalesce(*(F.col(c).cast("string") for c in DUE)).isNull()
+    termless = (F.col("kind") == "renewal") & F.coalesce(*(F.col(c).cast("string") for c in TERM)).isNull()
+    out |= {c: F.when(dueless | termless, F.col(f"more.{c}")).otherwise(F.col(c)) for c in TERM}
+    out["label"] = F.when((F.col("kind") == "payment") & (F.col("label") == "Payment"), F.coalesce("more.label", "label")).otherwise(F.col("label"))
+    return facts.withColumns(out)
+
+
 def merged(rules: DataFrame, model: DataFrame) -> DataFrame:
-    """Rule facts first; a model fact joins the first rule fact it agrees with (origin both), else it is added.
-    Single-valued kinds left with several values get a conflict mark."""
-    r = with_words(rules).select("doc_id", F.struct(*rules.columns, "words", "names").alias("r"))
-    m = with_words(model).select("doc_id", F.struct(*model.columns, "words", "names").alias("m"))
-    met = r.join(m, (r.doc_id == m.doc_id) & (F.col("r.kind") == F.col("m.kind"))).where(equivalent("r", "m")).select(r.doc_id, "r", "m")
-    best = met.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "m.no").orderBy("r.no"))).where("i = 1")
-    best = best.withColumn("j", F.row_number().over(Window.partitionBy("doc_id", "r.no").orderBy("m.no"))).where("j = 1")
-    taken = best.select("doc_id", F.col("r.no").alias("no"), F.col("m.no").alias("model_no"), F.col("m.role").alias("more_role"), F.col("m.day").alias("more_day"))
-    base = rules.join(taken, ["doc_id", "no"], "left").withColumn("origin", F.when(F.col("model_no").isNotNull(), "both").otherwise("rules"))
-    base = base.withColumn("role", F.coalesce("role", "more_role")).withColumn("day", F.coalesce("day", "more_day")).drop("more_role", "more_day", "model_no")
-    extra = model.join(met.select("doc_id", F.col("m.no").alias("no")).distinct(), ["doc_id", "no"], "left_anti").withColumn("origin", F.lit("model"))
-    out = base.unionByName(extra)
-    several = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "kind")) > 1
-    return out.withColumn("conflict", F.col("kind").isin(SINGLE) & several)
+    """Rule facts first; in the model's order, each model fact joins the first rule fact it agrees with that none
+    joined before (origin both, empty values filled); of the others, those that say what an earlier one of them says
+    are dropped and the rest added (origin model). Then single-valued kinds with several values: a generic contract
+    of the rules yields to the other type, the document's own title to none; all else gets a conflict mark.
+
+    Defined results: facts of null doc_ids join none; a table without rows on either side leaves the other's facts.
+    """
+    for name, kind in {**dict(model.dtypes), **dict(rules.dtypes), "payer": "string", "payee": "string"}.items():
+        rules = rules if name in rules.columns else rules.withColumn(name, F.lit(None).cast(kind))
+        model = model if name in model.columns else model.withColumn(name, F.lit(None).cast(kind))
+    rules, model = rules.persist(), model.persist()  # each is read several times below; lost parts are made again
+    taken = first_come(alike(model, rules)).select("doc_id", F.col("l").alias("model_no"), F.col("r").alias("no")).persist()
+    more = model.select(F.col("doc_id").alias("of"), F.col("no").alias("of_no"), F.struct(*model.columns).alias("more"))
+    more = taken.join(more, (F.col("doc_id") == F.col("of")) & (F.col("model_no") == F.col("of_no"))).select("doc_id", "no", "more")
+    base = enriched(rules.join(more, ["doc_id", "no"], "left")).withColumn("origin", F.when(F.col("more").isNotNull(), "both").otherwise("rules")).drop("more")
+    others = model.join(taken.select("doc_id", F.col("model_no").alias("no")), ["doc_id", "no"], "left_anti")
+    out = base.unionByName(first_said(others).withColumn("origin", F.lit("model")))
+    return single_valued(out)
+
+
+def single_valued(facts: DataFrame) -> DataFrame:
+    """Settle or mark kinds that a document has once."""
+    own = Window.partitionBy("doc_id", "kind")
+    generic = F.col("kind").eqNullSafe("document_type") & (F.col("origin") == "rules") & F.col("category").eqNullSafe("contract")
+    out = facts.withColumns({
+        "several": F.col("kind").isin(SINGLE) & (F.count(F.lit(1)).over(own) > 1) & F.col("doc_id").isNotNull(),
+        "yields": F.min(F.when(generic, F.col("no"))).over(own), "titled": (F.col("kind") == "title") & (F.count_if(F.col("origin") != "model").over(own) > 0),
+    })
+    gone = F.col("several") & ((generic & (F.col("no") == F.col("yields"))) | (F.col("titled") & (F.col("origin") == "model")))
+    settled = F.col("yields").isNotNull() | F.col("titled")
+    return out.where(~F.coalesce(gone, F.lit(False))).withColumn("conflict", F.coalesce(F.col("several") & ~settled, F.lit(False))).drop("several", "yields", "titled")

@@ -1,4 +1,9 @@
-"""Reading documents, page models and labels; writing tables and reports."""
+"""Reading documents, page models and labels; writing tables and reports.
+
+Defined results: an empty file is one empty line of one page; files of other extensions pair with no label; labels that
+cannot be read, are empty or hold no JSON object come with the reason and are left out of pairs; unknown fields are ignored;
+of files of one name and extension the first by path counts; empty folders give no rows.
+"""
 
 from __future__ import annotations
 
@@ -40,15 +45,19 @@ def page_models(spark: SparkSession, path: str) -> DataFrame:
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Label files; a malformed one has its text in skipped_because."""
     raw = spark.read.schema(LABELS).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True)
-    named = _named(raw.select("*", F.col("_metadata.file_path").alias("path")))
-    return named.withColumn("skipped_because", F.when(F.col("_corrupt").isNotNull(), "not readable as JSON")).drop("_corrupt", "path", "extension")
+    named = _named(raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")))
+    known = [c.split()[0] for c in LABELS.split(", ") if not c.startswith(("_", "payments", "obligations"))]
+    bare = F.coalesce(*(F.col(c).cast("string") for c in known), F.col("payments").cast("string"), F.col("obligations").cast("string")).isNull()
+    reason = F.when(F.col("size") == 0, "empty file").when(F.col("_corrupt").isNotNull(), "not readable as JSON").when(bare, "no expected values")
+    return named.withColumn("skipped_because", reason).drop("_corrupt", "path", "extension", "size")
 
 
 def paired(files: DataFrame, label_files: DataFrame) -> DataFrame:
     """files(path), label_files(name, ...): each label with its document, by base name and extension priority."""
     order = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("extension"))
     best = _named(files).where(order > 0).withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy(order, "path"))).where("rn = 1")
-    return label_files.join(best.select("name", "path"), "name")
+    usable = label_files.where("skipped_because is null") if "skipped_because" in label_files.columns else label_files
+    return usable.join(best.select("name", "path"), "name")
 
 
 def sniffed(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The incremental inbox: each file that arrives is imported once; re-planning is idempotent."""
+"""The incremental inbox: each file that arrives is imported once; re-planning is idempotent.
+
+Defined results: a file without a leading time has none; an empty file has no facts; two files of one name are two
+documents if they came at different times; an empty inbox writes nothing; a batch run again writes the same rows.
+"""
 
 from __future__ import annotations
 

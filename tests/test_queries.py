@@ -4,10 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from factloom.plans.queries import QUERIES, SQL
+from factloom.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"addresses_are_no_dates"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def values(rows, names):
     return sorted(str([r[i] for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     rows = df.collect()

@@ -20,5 +20,5 @@ def test_every_layout_is_read(spark, monkeypatch, name):
 
 def test_every_obligation_recurs(spark):
     n = queries.obligations(spark, DATA).count()
-    assert QUERIES["next_occurrence_all"](spark, DATA).count() == n
-    assert QUERIES["recurrence_occurrences_all"](spark, DATA).where("k = 1").count() == QUERIES["next_occurrence_all"](spark, DATA).where("next_day is not null").count()
+    assert QUERIES["next_occurrence"](spark, DATA).count() == n
+    assert QUERIES["recurrence_occurrences"](spark, DATA).where("k = 1").count() == QUERIES["next_occurrence"](spark, DATA).where("next_day is not null").count()
