@@ -21,7 +21,7 @@ from . import lifecycle
 IN_FLIGHT = ["queued", "reading_text", "extracting"]
 #: Steps of a document on its way; where it goes from each.
 NEXT_STEP = {"queued": "reading_text", "reading_text": "extracting"}
-#: Groups of kinds as they are reviewed.
+# Groups of kinds as they are reviewed.
 GROUPS = {
     "Document": ["document_type", "title"], "Parties": ["party"], "Dates": ["effective_date", "end_date"], "Money": ["total_amount", "payment", "payment_frequency"],
     "Renewal & notice": ["renewal", "notice_period"], "Deadlines & deliverables": ["obligation"], "Important clauses": ["clause"], "Identifiers": ["identifier"],
@@ -190,6 +190,7 @@ def reapplied(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     return kept.unionByName(numbered_after(kept, drafts.join(said, ["doc_id", "no"], "left_anti")), allowMissingColumns=True)
 
 
+# Names of statuses as they are shown.
 STATUS_NAMES = {"upcoming": "Upcoming", "pending": "Pending", "overdue": "Overdue", "completed": "Completed", "received": "Received", "dismissed": "Dismissed"}
 
 

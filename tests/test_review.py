@@ -128,3 +128,33 @@ def test_index_of_awkward_documents(spark):
     assert S.search(index, "  ").count() == 0
     hit = S.hydrated(S.search(index, "total"), docs, "total").first()
     assert hit.snippet.startswith("Total 1,500") and hit.title == "Rent deed"
+
+
+def test_lists_and_badges(spark):
+    parties = spark.createDataFrame([("Acme Tools Ltd", "ACME tools"), ("Zed", "ACME tools"), (None, "x"), ("x", None)], "name string, user_party string")
+    assert [r.is_user for r in review.is_user(parties).collect()] == [True, False, False, False]
+    docs = spark.createDataFrame([(1, date(2024, 1, 1)), (2, None), (3, date(2024, 2, 1)), (4, date(2024, 2, 1))], "doc_id long, added_on date")
+    assert [r.doc_id for r in review.newest_first(docs).collect()] == [3, 4, 1, 2]
+    o = spark.createDataFrame([("pending", "payment", "owed_to_me", 5, c) for c in ("USD", "INR", "EUR", "INR")], "status string, category string, direction string, amount_minor long, currency string")
+    assert [(r.currency, r.owed_to_me) for r in review.totals_listed(o).collect()] == [("EUR", 5), ("INR", 10), ("USD", 5)]
+    due = spark.createDataFrame([(1, 1, None), (1, 2, date(2024, 1, 1)), (None, 3, None)], "doc_id long, obligation_id long, due_date date")
+    assert {r.obligation_id: r.place for r in review.by_due(due).collect()} == {1: 2, 2: 1, 3: 1}
+    gone = review.without_documents({"due": due}, docs.where("doc_id = 1"))["due"].collect()
+    assert [r.obligation_id for r in gone] == [3]
+
+
+def test_shown_texts_of_every_kind(spark):
+    names = "kind string, text string, role string, category string, minor long, currency string, day date, base_date date, anchor string, after boolean, is_term boolean, term_value int, term_unit string, automatic boolean, frequency string, label string, payer string, payee string"
+    base = dict.fromkeys(c.split()[0] for c in names.split(", "))
+    rows = [
+        ({"kind": "party", "text": "Acme", "role": "Vendor"}, "Acme (Vendor)", "Acme (Vendor)"), ({"kind": "title", "text": "Deed"}, "Deed", "Deed"), ({"kind": "document_type", "category": "rental_agreement"}, "Rental agreement", "Rental agreement"),
+        ({"kind": "renewal", "text": "may renew", "automatic": True, "term_value": 1, "term_unit": "years"}, "Automatic renewal for 1 year", "Automatic renewal for 1 year may renew"), ({"kind": "renewal", "text": "may renew"}, "may renew", "may renew may renew"),
+        ({"kind": "payment", "label": "Rent", "payer": "Zed"}, "Amount not stated", "Amount not stated Rent Zed"), ({"kind": "obligation", "text": "Send it", "day": date(2024, 1, 2), "role": "Acme"}, "Send it — by 02/01/2024", "Send it — by 02/01/2024 Acme"),
+        ({"kind": "end_date", "anchor": "effective", "is_term": True, "term_value": 11, "term_unit": "months"}, "End of a 11 months term from the effective date (base date unknown)",) * 1 + ("End of a 11 months term from the effective date (base date unknown)",) * 2,
+        ({"kind": "end_date"}, "—", "—"), ({"kind": "payment_frequency", "frequency": "half_yearly"}, "Half yearly", "Half yearly"), ({"kind": "identifier", "text": "AB1", "category": "pan"}, "PAN: AB1", "PAN: AB1"),
+    ]
+    for given, *_ in rows:
+        assert set(given) <= set(base)
+    df = spark.createDataFrame([(i, *(base | r[0]).values()) for i, r in enumerate(rows)], "i int, " + names)
+    got = {r.i: (r.shown, r.found) for r in df.select("i", review.display_text().alias("shown"), review.search_text().alias("found")).collect()}
+    assert got == {i: (r[-2], r[-1]) for i, r in enumerate(rows)}
