@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,18 @@ def with_confidence(facts: DataFrame) -> DataFrame:
     return facts.withColumn("confidence", level)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a fresh table below spark.checkpoint.dir, so that what reads it several times doesn't repeat its plan; kept in the
+    executors' storage instead where no such folder is named."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df.persist()
+    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unreadable(docs: DataFrame) -> DataFrame:
     """doc_id and warning of documents without text; no rule or model reads them."""
     return docs.where(F.coalesce(F.trim("full_text"), F.lit("")) == "").select("doc_id", F.lit(EMPTY).alias("warning"))
@@ -46,7 +59,7 @@ def read_documents(docs: DataFrame, model_facts: DataFrame | None = None) -> Dat
     """Facts of docs(doc_id, full_text), scored, with relative dates resolved, in order of presentation.
     Without model facts (see operators.model.facts_of) the rules stand alone. Documents without text have no facts."""
     rules = extract_facts(docs.where(F.trim("full_text") != ""))
-    facts = lifecycle.merged(rules, model_facts) if model_facts is not None else rules.withColumns({"origin": F.lit("rules"), "conflict": F.lit(False)})
+    facts = written(lifecycle.merged(written(rules, "rule-facts"), written(model_facts, "model-facts")), "facts") if model_facts is not None else rules.withColumns({"origin": F.lit("rules"), "conflict": F.lit(False)})
     own = set(facts.columns)
     facts = facts.withColumns({
         "match": F.coalesce("match", F.lit("exact")) if "match" in own else F.lit("exact"), "verified": F.col("verified") if "verified" in own else F.lit(None).cast("boolean"),
