@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .interactions import op11_filter_audit
     from .jaccard import op9_jaccard_join
     from .linededup import line_chunks_any, op10_line_chunks
+    from .novelty import op12_secret_novelty
     from .quality import op8_quality_llr
     from .sharding import op1_hilbert_shards
     from .substrings import op7_substring_fm
@@ -23,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = (op1_hilbert_shards, op2_html_text, op3_warc_zstd, op4_bpe_trie, op5_toxicity_mil, op6_decontaminate)
     found += (op7_substring_fm, op8_quality_llr, op9_jaccard_join, op10_line_chunks, line_chunks_any)
-    found += (op11_filter_audit, op13_whitening)
+    found += (op11_filter_audit, op12_secret_novelty, op13_whitening)
     return {f.__name__: f for f in found}
 
 

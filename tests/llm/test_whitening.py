@@ -84,4 +84,4 @@ def test_lanczos_spectra(spectrum):
 
 def test_decaying_spectrum_needs_few_passes():
     v = dense(np.geomspace(1, 1e-12, 400))
-    assert W.lanczos(lambda q: v @ q, 400, 4)[2] <= 8
+    assert W.lanczos(lambda q: v @ q, 400, 4)[2] <= 12  # of 25 that span all dimensions
