@@ -1,8 +1,9 @@
 """HTML extraction by a tree-structured graphical model.
 
 Every block element of a page's DOM is content or not. A log-linear model gives each element a
-potential by its features (tag, words of its class, id and role, length of text, share of link
-text) and each parent-child edge one by the two labels and the child's kind. Sum-product messages
+potential by its features (tag; words of its class, id and role, their beginnings and ends; length and density of
+text, share of link text and of the page; place; words of boilerplate) and each parent-child edge one by the two labels and the
+child's kind. Sum-product messages
 go up and down the tree and give each element's exact marginal; blocks of elements whose marginal
 reaches THRESHOLD are the text. Potentials are fitted by the likelihood of labelled pages (its
 gradient is observed less expected counts, both from the same messages). The labelled pages are
@@ -18,6 +19,7 @@ are extracted one by one; an empty table gives no rows.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,14 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html_tree import Tree, labelled_page, parse
 from .common import small_batches, table
+from .html_tree import BOILERPLATE, Tree, labelled_page, parse
 
 THRESHOLD = 0.5
-PAGES, SEED, ROUNDS, RATE, DECAY = 500, 20, 150, 0.15, 1e-3
-#: Kinds of child that an edge potential tells apart.
-EDGE_KINDS = {t: i + 1 for i, t in enumerate("p li ul ol div section article aside nav header footer form h1 h2 h3 table".split())}
-N_EDGES = len(EDGE_KINDS) + 1
+PAGES, SEED, ROUNDS, RATE, DECAY = 1200, 20, 150, 0.15, 3e-4
+#: Kinds of child that an edge potential tells apart, each with and without a name of its own.
+EDGE_GROUPS = ("", "p blockquote pre td", "li tr", "ul ol table", "div", "section article main", "aside nav footer form", "header", "h1 h2 h3 h4")
+EDGE_KINDS = {t: i for i, tags in enumerate(EDGE_GROUPS) for t in tags.split()}
+N_EDGES = 2 * len(EDGE_GROUPS)
+
+#: Characters of a block that is looked at for words of boilerplate, and one in how many of its words must be such.
+SHORT, SAYING = 400, 6
+WORD = re.compile(r"[^\W\d_]{4,}")
 
 PAGE = "page_id long, url string, text string, n_chars long"
 
@@ -51,14 +58,55 @@ class Vocabulary(dict):
         return self.get(feature)
 
 
-def text_features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each element's text length and of its share of link text, its descendants' included."""
+def scale(values: np.ndarray, steps: np.ndarray | list) -> list[int]:
+    return np.searchsorted(steps, values, "right").tolist()
+
+
+def features_of(tree: Tree) -> list[list[tuple]]:
+    """Of each element: tag, names and their beginnings and ends, words that boilerplate says, and by its whole subtree length of text,
+    share of link text, characters a block, share of the page's text, share of it that stands before, share of blocks that say boilerplate
+    (its parent's too), likeness of the siblings."""
+    n = len(tree.tags)
+    parents = tree.parents
     chars, links = list(tree.chars), list(tree.link_chars)
-    for i in range(len(chars) - 1, 0, -1):
-        chars[tree.parents[i]] += chars[i]
-        links[tree.parents[i]] += links[i]
-    chars, links = np.array(chars), np.array(links)
-    return np.minimum(np.log2(chars + 1).astype(int), 14) // 2, (4 * links // np.maximum(chars, 1)).astype(int)
+    own_blocks, said = [0] * n, [set() for _ in range(n)]
+    for element, text in tree.blocks:
+        own_blocks[element] += 1
+        if len(text) <= SHORT:
+            words = WORD.findall(text.lower())
+            known = {w for w in words if w in BOILERPLATE}
+            said[element].update(known if SAYING * len(known) >= len(words) else ())
+    own, saying = np.array(chars), [int(bool(x)) for x in said]
+    before = np.cumsum(own) - own  # by document order of elements, near enough
+    blocks = list(own_blocks)
+    children: list[dict[str, int]] = [{} for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        blocks[p] += blocks[i]
+        saying[p] += saying[i]
+        children[p][tree.tags[i]] = children[p].get(tree.tags[i], 0) + 1
+    chars_, links_, blocks_ = np.array(chars), np.array(links), np.array(blocks)
+    whole = max(1, chars[0])
+    length = np.minimum(np.log2(chars_ + 1).astype(int), 14) // 2
+    rows = zip(
+        length.tolist(), (4 * links_ // np.maximum(chars_, 1)).tolist(), scale(chars_ / np.maximum(blocks_, 1), [1, 12, 30, 60, 120, 240]),
+        scale(chars_ / whole, [0.02, 0.1, 0.3, 0.6, 0.9]), scale(before / whole, [0.02, 0.3, 0.6, 0.9, 0.99]),
+        scale(np.array(saying) / np.maximum(blocks_, 1), [0.01, 0.2, 0.5, 0.9]), strict=True,
+    )
+    out, tells = [], []
+    for i, (size, share, density, part, place, told) in enumerate(rows):
+        tag, names = tree.tags[i], tree.names[i]
+        found = [("tag", tag), ("length", size), ("links", share), ("density", density), ("part", part), ("place", place), ("part of", tag, part, density)]
+        tells.append(told)
+        found += [("told", told), ("told around", tells[parents[i]] if i else 0), ("told of", told, part)]
+        found.append(("alike", min(children[parents[i]].get(tag, 0), 6) if i else 0))
+        found += [("name", x) for x in names]
+        found += {("begins", x[:k]) for x in names for k in (4, 6) if len(x) >= k} | {("ends", x[-6:]) for x in names if len(x) > 6}
+        found += [("says", w) for w in said[i]] + ([("says",)] if said[i] else [])
+        out.append(found)
+    return out
 
 
 class Forest:
@@ -75,10 +123,9 @@ class Forest:
             parents = np.array(tree.parents)
             self.parent[here] = np.where(parents >= 0, parents + at, -1)
             self.depth[here] = tree.depths
-            self.kind[here] = [EDGE_KINDS.get(t, 0) for t in tree.tags]
-            lengths, shares = text_features(tree)
-            for i, (tag, names, length, share) in enumerate(zip(tree.tags, tree.names, lengths.tolist(), shares.tolist(), strict=True)):
-                for key in (("tag", tag), ("length", length), ("links", share), *(("name", x) for x in names)):
+            self.kind[here] = [2 * EDGE_KINDS.get(t, 0) + bool(names) for t, names in zip(tree.tags, tree.names, strict=True)]
+            for i, found in enumerate(features_of(tree)):
+                for key in found:
                     if (number := vocabulary.number(key)) is not None:
                         element.append(at + i)
                         feature.append(number)
