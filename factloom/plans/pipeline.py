@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import layout, lifecycle, model, review
 from ..operators.extract import extract_facts
+from ..operators.tables import written
 
 #: Order in which kinds are shown.
 KINDS = "document_type title party effective_date end_date notice_period renewal total_amount payment payment_frequency obligation clause identifier".split()
@@ -29,18 +29,6 @@ def with_confidence(facts: DataFrame) -> DataFrame:
     return facts.withColumn("confidence", level)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a fresh table below spark.checkpoint.dir, so that what reads it several times doesn't repeat its plan; kept in the
-    executors' storage instead where no such folder is named."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unreadable(docs: DataFrame) -> DataFrame:
     """doc_id and warning of documents without text; no rule or model reads them."""
     return docs.where(F.coalesce(F.trim("full_text"), F.lit("")) == "").select("doc_id", F.lit(EMPTY).alias("warning"))
