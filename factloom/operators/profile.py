@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: Share of a name's words that a similar one may lack; share of letters in which names spelt alike may differ.
+REST, RATIO = 0.25, 0.12
+
 
 def alias_list(text: Column) -> Column:
     """Names parted by commas or line ends, trimmed, without blanks."""
@@ -82,20 +85,59 @@ def generated_title(documents: DataFrame) -> DataFrame:
     return documents.withColumn("title", F.when(is_default, made).otherwise(F.col("title")))
 
 
-def name_keys(tokens: Column) -> Column:
-    """Words of a name, and longer ones with one letter left out: names up to a typo share one of these."""
-    left_out = F.transform(
-        F.filter(tokens, lambda t: F.length(t) >= 4),
-        lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))),
-    )
-    return F.array_distinct(F.concat(tokens, F.flatten(left_out)))
+def word_keys(word: Column) -> Column:
+    """Keys of which two words share one if they are equal or, being of four letters or more, one edit apart."""
+    left_out = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) >= 4, F.array_distinct(F.concat(F.array(word), left_out))).otherwise(F.array(word))
+
+
+def by_words(rows: DataFrame) -> DataFrame:
+    """Candidate pairs x, y of rows(n, tokens): y holds, up to an edit, one of x's rarest words, x having no more words than y.
+
+    Names that share words to the degree of MAYBE_NAME leave out a quarter of them at most, and one that another contains leaves
+    out none; so one in the rarest quarter and one more of the shorter name's words is shared. A word of most names brings names
+    together only where a name has no rarer one."""
+    sets = rows.select("n", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("word"))
+    often = sets.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    words = sets.join(often, "word")
+    ranked = words.groupBy("n", "size").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("words"))
+    rare = ranked.select(F.col("n").alias("x"), F.col("size").alias("nx"), F.explode(F.slice("words", F.lit(1), F.floor(F.col("size") * REST).cast("int") + 1)).alias("w"))
+    rare = rare.select("x", "nx", F.explode(word_keys(F.col("w.word"))).alias("key"))
+    every = sets.select(F.col("n").alias("y"), F.col("size").alias("ny"), F.explode(word_keys(F.col("word"))).alias("key"))
+    return rare.join(every, "key").where("nx <= ny").select("x", "y").distinct()
+
+
+def by_segments(rows: DataFrame) -> DataFrame:
+    """Candidate pairs x, y of rows(n, tokens) whose joined words differ in RATIO of the longer one's letters at most.
+
+    The longer text, of size L, may differ in k = RATIO * L edits; cut into k + 1 segments it leaves one untouched in the shorter one,
+    moved by no more than the edits before it and behind it allow. Each segment of each text meets those pieces of shorter texts that
+    could be it: an equi-join on (L, number of the segment, piece)."""
+    texts = rows.select("n", F.array_join("tokens", " ").alias("text")).withColumn("size", F.length("text"))
+    edits = lambda size: F.floor(size * RATIO + 1e-9).cast("int")
+    begin = lambda i: F.floor(i * F.col("L") / (F.col("k") + 1)).cast("int")
+    cut = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).withColumns({"at": begin(F.col("i")), "piece": begin(F.col("i") + 1) - begin(F.col("i"))})
+    longer = cut(texts.withColumns({"L": F.col("size"), "k": edits(F.col("size"))}).where("k > 0"))
+    longer = longer.select(F.col("n").alias("y"), "L", "i", F.expr("substring(text, at + 1, piece)").alias("key"))
+    reach = F.floor(F.col("size") / (1 - RATIO) + 1e-9).cast("int")
+    shorter = texts.where("size > 0").select("*", F.explode(F.sequence(F.col("size"), reach)).alias("L")).withColumn("k", edits(F.col("L"))).where("k > 0 and L - size <= k")
+    shorter = cut(shorter).withColumn("less", F.col("size") - F.col("L"))
+    low, high = F.greatest(-F.col("i"), F.col("less") - (F.col("k") - F.col("i"))), F.least(F.col("i"), F.col("less") + F.col("k") - F.col("i"))
+    shorter = shorter.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("moved")).where("at + moved >= 0 and at + moved + piece <= size")
+    shorter = shorter.select(F.col("n").alias("x"), "L", "i", F.expr("substring(text, at + moved + 1, piece)").alias("key")).distinct()
+    return shorter.join(longer, ["L", "i", "key"]).select("x", "y").distinct()
 
 
 def similar_names(names: DataFrame, column: str, least: float) -> DataFrame:
-    """Pairs a, b of distinct names whose similarity reaches `least` (both ways, each name with itself), with their score. Only names
-    that share a word, up to one letter, are compared: an equi-join on keys, whose pairs are made distinct before they are scored."""
-    rows = names.select(F.col(column).alias("n")).distinct().withColumn("tokens", C.name_tokens(F.col("n")))
-    keys = rows.select("n", "tokens", F.explode(name_keys(F.col("tokens"))).alias("key"))
-    left, right = keys.select(F.col("n").alias("a"), F.col("tokens").alias("ta"), "key"), keys.select(F.col("n").alias("b"), F.col("tokens").alias("tb"), "key")
-    pairs = left.join(right, "key").select("a", "b", "ta", "tb").distinct()
-    return pairs.withColumn("score", C.name_similarity_of(F.col("ta"), F.col("tb"))).where(F.col("score") >= least).select("a", "b", "score")
+    """Pairs a, b of distinct names whose similarity reaches `least` (both ways, each name with itself), with their score; `least` is
+    MAYBE_NAME or more. No pair is lost: each way of being similar has its own candidates, `by_words` and `by_segments`;
+    null names and names without any word are like none. Candidates are made distinct before they are scored."""
+    if least < C.MAYBE_NAME:
+        raise ValueError(f"names are compared from a similarity of {C.MAYBE_NAME}")
+    rows = names.select(F.col(column).alias("n")).where("n is not null").distinct().withColumn("tokens", C.name_tokens(F.col("n")))
+    some = rows.where("size(tokens) > 0")
+    pairs = by_words(some).unionByName(by_segments(some)).distinct()
+    pairs = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select("p.*").distinct()
+    own = lambda side, tokens: rows.select(F.col("n").alias(side), F.col("tokens").alias(tokens))
+    met = pairs.join(own("a", "ta"), "a").join(own("b", "tb"), "b")
+    return met.withColumn("score", C.name_similarity_of(F.col("ta"), F.col("tb"))).where(F.col("score") >= least).select("a", "b", "score")

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import geometry, layout, profile, review
@@ -96,6 +97,36 @@ def test_similar_names_against_all_pairs(spark):
     assert got == {(r.a, r.b) for r in both.where(C.name_similarity(F.col("a"), F.col("b")) >= 0.6).collect()}
 
 
+def test_similar_names_under_edits_and_hot_words(spark):
+    """Equal to all pairs on names with one to three edits, and no more candidates than names on a word that all share."""
+    import random
+
+    from factloom.functions import columns as C
+
+    rng = random.Random(3)
+    letters = "abcdeorstuvw"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 14)))
+
+    def edited(name):
+        for _ in range(rng.randrange(1, 4)):
+            i, form = rng.randrange(len(name)), rng.randrange(3)
+            name = name[:i] + ("" if form == 0 else rng.choice(letters + " ")) + name[i + (form < 2) :]
+        return name
+
+    names = ["internationalisation", "intarnationalisatoon", "a b", "ab", "Services", "services ltd", "x", "Ünïted"]
+    for _ in range(60):
+        name = " ".join(word() for _ in range(rng.randrange(1, 5)))
+        names += [name, edited(name), edited(name), " ".join(reversed(name.split())), name + " services"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").distinct()
+    both = rows.select(F.col("n").alias("a")).crossJoin(rows.select(F.col("n").alias("b"))).withColumn("s", C.name_similarity(F.col("a"), F.col("b")))
+    for least in (0.6, 0.85):
+        assert {(r.a, r.b) for r in profile.similar_names(rows, "n", least).collect()} == {(r.a, r.b) for r in both.where(f"s >= {least}").collect()}
+    hot = spark.range(3000).selectExpr("concat('services ', substring(sha2(cast(id as string), 256), 1, 12)) n").withColumn("tokens", C.name_tokens(F.col("n")))
+    assert profile.by_words(hot).count() < 2 * 3000
+    with pytest.raises(ValueError):
+        profile.similar_names(rows, "n", 0.3)
+
+
 def test_boxes_of_parts_and_of_nothing(spark):
     parts = "array<struct<at:int,to:int,x:double,y:double,w:double,h:double>>"
     lines = spark.createDataFrame(
