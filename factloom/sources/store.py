@@ -1,14 +1,18 @@
 """Tables of the application and files beside them: reading, replacing by key, dropping files off, reports.
 
-Each table is a folder of Parquet versions; a write goes to a fresh version and readers take the newest finished one, so
-a job that dies leaves the old version in place. Defined results: a table never written is empty of rows but has its
-columns; repeated keys among new rows keep one row; an empty change writes the same rows again.
+Tables are Parquet folders that a log of versions names; a job that dies before its version is in the log has changed nothing.
+Defined results: a table never written is empty of rows but has its columns; repeated keys among new rows keep one row; an empty
+change writes the same rows again.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,43 +28,168 @@ TABLES = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the snapshot that a change was made from."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables as of one version: where each lies, and what it reads as."""
+
+    store: Store
+    version: int
+    folders: dict[str, str]
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self.folders:
+            return self.store.spark.createDataFrame([], TABLES[name][1])
+        return self.store.spark.read.parquet(f"{self.store.root}/{self.folders[name]}")
+
+
 class Store:
-    """The five tables below one folder."""
+    """The five tables below one folder, with a log of versions.
+
+    A version is one file of the log that names the folder of every table, so that a change of several tables is seen whole or
+    not at all. Its number is claimed by creating that file where none is: of two writers that began from one version the second
+    gets a Conflict, and `change` makes its change again from the newer one. Folders that no kept version names are removed by
+    `vacuum`."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def versions(self, name: str) -> list[tuple[int, str]]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        names = [str(s.getPath().getName()) for s in files.listStatus(path)]
-        done = [n for n in names if n.startswith("v") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_SUCCESS"))]
-        return sorted((int(n[1:].split("-")[0]), n) for n in done)
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    @property
+    def _files(self):
+        return self._path("_log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> dict[str, int]:
+        """Names in a folder and when they last changed, in milliseconds."""
+        files, path = self._files, self._path(name)
+        return {str(s.getPath().getName()): int(s.getModificationTime()) for s in files.listStatus(path)} if files.exists(path) else {}
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[: -len(".json")]) for n in self._listed("_log") if n.endswith(".json") and not n.startswith("."))
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The newest version, or an older one that is still kept; readers of a snapshot see nothing that is written later."""
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        if not version:
+            return Snapshot(self, 0, {})
+        stream = self._files.open(self._path(f"_log/{version:020d}.json"))
+        try:
+            return Snapshot(self, version, json.loads(str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))))
+        finally:
+            stream.close()
 
     def read(self, name: str) -> DataFrame:
-        found = self.versions(name)
-        if not found:
-            return self.spark.createDataFrame([], TABLES[name][1])
-        return self.spark.read.parquet(f"{self.root}/{name}/{found[-1][1]}")
+        return self.snapshot().read(name)
+
+    def _claim(self, version: int, folders: dict[str, str]) -> None:
+        """Put a version into the log, whole and only if it isn't there."""
+        files, target = self._files, self._path(f"_log/{version:020d}.json")
+        part = self._path(f"_log/.{version}-{uuid.uuid4().hex}")
+        out = files.create(part, True)
+        out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+        out.close()
+        try:
+            if str(files.getScheme()) == "file":  # renaming would replace what is there; linking doesn't
+                local = lambda p: str(p.toUri().getPath())
+                os.link(local(part), local(target))
+            elif files.exists(target) or not files.rename(part, target):
+                raise FileExistsError
+        except FileExistsError:
+            raise Conflict(f"version {version} of {self.root} is taken") from None
+        finally:
+            files.delete(part, False)
+
+    def commit(self, base: Snapshot, changed: dict[str, DataFrame]) -> int:
+        """The next version after `base`, with exactly these rows in the changed tables; its number. A Conflict leaves nothing behind."""
+        made = {name: f"{name}/{uuid.uuid4().hex}" for name in changed}
+        try:
+            for name, rows in changed.items():
+                rows.write.parquet(f"{self.root}/{made[name]}")
+            self._claim(base.version + 1, base.folders | made)
+        except BaseException:
+            for folder in made.values():
+                self._files.delete(self._path(folder), True)
+            raise
+        return base.version + 1
+
+    def change(self, make: Callable[[Snapshot], dict[str, DataFrame]], tries: int = 5) -> int:
+        """Commit what `make` gives for the newest snapshot, again from a newer one after a conflict."""
+        for left in range(tries, 0, -1):
+            base = self.snapshot()
+            try:
+                return self.commit(base, make(base))
+            except Conflict:
+                if left == 1:
+                    raise
+        raise ValueError("no tries")
 
     def write(self, name: str, rows: DataFrame) -> None:
         """A new version of a table with exactly these rows."""
-        number = max((n for n, _ in self.versions(name)), default=0) + 1
-        rows.write.parquet(f"{self.root}/{name}/v{number}-{uuid.uuid4().hex}")
+        self.change(lambda _: {name: rows})
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Rows of the same key are replaced, others added."""
-        keys = TABLES[name][0]
-        new = rows.dropDuplicates(keys)
-        self.write(name, self.read(name).join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True))
+        self.replace_all({name: rows})
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> int:
+        """As replace, for several tables in one version."""
+
+        def make(now: Snapshot) -> dict[str, DataFrame]:
+            out = {}
+            for name, rows in tables.items():
+                keys = TABLES[name][0]
+                new = rows.dropDuplicates(keys)
+                out[name] = now.read(name).join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+            return out
+
+        return self.change(make)
 
-    def delete(self, ids: DataFrame) -> None:
-        """Documents with their pages, facts and obligations."""
+    def delete(self, ids: DataFrame) -> int:
+        """Documents with their pages, facts and obligations, in one version."""
         gone = ids.select("doc_id").distinct()
-        for name in ("documents", "pages", "facts", "obligations"):
-            self.write(name, self.read(name).join(gone, "doc_id", "left_anti"))
+        return self.change(lambda now: {name: now.read(name).join(gone, "doc_id", "left_anti") for name in ("documents", "pages", "facts", "obligations")})
+
+    def vacuum(self, keep: int = 2, hours: float = 24.0) -> list[str]:
+        """Remove all but the newest `keep` versions from the log, and folders that none of those names: at once if an older version named
+        them, else (a writer may still be at work, or has died) once they are `hours` old. Returns the folders removed."""
+        known = self.versions()
+        dropped = known[: -keep] if keep else known[:-1]
+        kept = {f for v in known[len(dropped) :] for f in self.snapshot(v).folders.values()}
+        old = {f for v in dropped for f in self.snapshot(v).folders.values()}
+        now = time.time() * 1000
+        gone = [f"{name}/{n}" for name in TABLES for n, at in self._listed(name).items() if f"{name}/{n}" not in kept and (f"{name}/{n}" in old or now - at > hours * 3_600_000)]
+        for version in dropped:
+            self._files.delete(self._path(f"_log/{version:020d}.json"), False)
+        for folder in gone:
+            self._files.delete(self._path(folder), True)
+        return sorted(gone)
+
+
+def changed_ids(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, change (added, removed, changed) of the rows that differ between two states of a table, by digests of their values; repeated
+    rows of a key count as one set, rows without a key as one key."""
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        value = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c != key)), {"ignoreNullFields": "false"}), 256)
+        return df.groupBy(F.col(key).alias(f"{name}_key")).agg(F.array_sort(F.collect_set(value)).alias(name))
+
+    met = digests(before, "old").join(digests(after, "new"), F.col("old_key").eqNullSafe(F.col("new_key")), "full").withColumn(key, F.coalesce("old_key", "new_key"))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return met.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, kind.alias("change"))
+
+
+def kept_up(before: DataFrame, after: DataFrame, derived: DataFrame, derive: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+    """A table derived from another row by row, after that has changed: rows of changed keys are made anew, all others are kept as they are."""
+    ids = changed_ids(before, after, key).select(F.col(key).alias("_key"))
+    same = lambda df: df[key].eqNullSafe(ids["_key"])
+    return derived.join(ids, same(derived), "left_anti").unionByName(derive(after.join(ids, same(after), "left_semi")), allowMissingColumns=True)
 
 
 def drop_name(arrived_ms, name):

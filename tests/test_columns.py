@@ -79,3 +79,8 @@ def test_sources_and_inbox(spark, tmp_path):
         drain(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     facts = spark.read.parquet(str(tmp_path / "out"))
     assert facts.where("kind = 'total_amount'").count() == 2
+    (tmp_path / "in" / "19_bad.txt").write_bytes(b"  \n")
+    drain(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "anew"), delete=True)  # a stream begun anew reads all again, beside the first one's rows
+    assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'total_amount'").count() == 4
+    assert [(r.file, r.error) for r in spark.read.parquet(str(tmp_path / "out-errors")).collect()] == [("19_bad.txt", "no text")]
+    assert list((tmp_path / "in").glob("*.txt")) == []
