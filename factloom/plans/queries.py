@@ -380,18 +380,21 @@ def payment_direction_named(spark, sf_dir):
     return C.direction(rows).select("doc_id", "direction")
 
 
-CASES = "(values ('user'), ('both'), ('rules'), ('model')) o(origin), (values (true), (false)) s(has_source), (values ('strong'), ('weak')) r(rule_strength), (values ('exact'), ('normalized'), ('fuzzy'), ('value_only')) m(match), (values (true), (false), (null)) v(verified), (values (0.3), (0.9)) c(ocr), (values (true), (false)) a(ambiguous), (values (true), (false)) b(base_missing), (values (true), (false)) x(conflict)"
+CASES = """(select l_orderkey, l_linenumber, case l_orderkey % 4 when 0 then 'user' when 1 then 'both' when 2 then 'rules' else 'model' end origin, l_partkey % 5 > 0 has_source,
+  case when l_suppkey % 2 = 0 then 'strong' else 'weak' end rule_strength, case l_partkey % 4 when 0 then 'exact' when 1 then 'normalized' when 2 then 'fuzzy' else 'value_only' end match,
+  case l_suppkey % 3 when 0 then true when 1 then false end verified, case when cast(l_quantity as int) % 2 = 0 then 0.3D else 0.9D end ocr, l_linenumber % 2 = 0 ambiguous, l_orderkey % 3 = 0 base_missing, l_partkey % 7 = 0 conflict from lineitem)"""
 
 
-@query(f"""with c as (select * from {CASES}),
+@query(f"""with c as (select * from {CASES.replace('0.3D', '0.3').replace('0.9D', '0.9')}),
 s as (select *, case when origin = 'user' then 3 when not has_source then 0 when origin = 'both' then 3 when origin = 'rules' then case rule_strength when 'strong' then 3 else 2 end when verified = false or match in ('value_only', 'fuzzy') then 1 else 2 end l0 from c),
 l1 as (select *, case when ocr < 0.5 then greatest(l0 - 1, 1) else l0 end l from s), l2 as (select *, case when ambiguous and origin <> 'both' then greatest(l - 1, 1) else l end l3 from l1),
 e as (select *, case when origin = 'user' or not has_source then l0 when base_missing or conflict then least(l3, 2) else l3 end level from l2)
-select origin, has_source, (['unverified', 'low', 'medium', 'high'])[level + 1] confidence, count(*) n from e group by all""")
+select l_orderkey, l_linenumber, origin, has_source, (['unverified', 'low', 'medium', 'high'])[level + 1] confidence from e""")
 def confidence_matrix(spark, sf_dir):
-    c = spark.sql(f"select * from {CASES}")
+    """The confidence of a fact in every case, by cases taken from the lines of orders."""
+    c = spark.sql("select * from " + CASES.replace("from lineitem", "from {lines}"), lines=read(spark, sf_dir, "lineitem"))
     level = C.confidence(*(F.col(x) for x in ("origin", "has_source", "rule_strength", "match", "verified", "ocr", "ambiguous", "base_missing", "conflict")))
-    return c.select("origin", "has_source", level.alias("confidence")).groupBy("origin", "has_source", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("l_orderkey", "l_linenumber", "origin", "has_source", level.alias("confidence"))
 
 
 @query("""with p as (select source, l.quality want, cast(n_chars > 200 as int) got from documents join labels l using (doc_id)),
@@ -502,6 +505,29 @@ def obligations_from_facts(spark, sf_dir):
     return built.select("doc_id", "category", "due_date")
 
 
+def built_from_facts(spark, sf_dir):
+    f = facts(spark, sf_dir).withColumns({"verification": F.lit("confirmed"), "payer": F.lit(None).cast("string"), "payee": F.lit(None).cast("string")})
+    p = f.where("kind = 'party'").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("text").alias("name"), "role")).alias("parties"))
+    p = p.select("doc_id", F.lit("Buyer House").alias("user_party"), F.lit(False).alias("is_neither"), "parties")
+    return lifecycle.build(f, p)
+
+
+FIFTH = "cast(case when day(issue_date) <= 5 then date_trunc('month', issue_date) + interval 4 day else date_trunc('month', issue_date) + interval 1 month + interval 4 day end as date)"
+
+
+@query(f"""with t as ({TRUTH_SQL}) select doc_id, case when variant = 4 then 'monthly' end frequency, case when variant in (0, 1) then issue_date + net_days when variant = 4 then {FIFTH} end due_date,
+  total_minor amount_minor, case when variant = 8 then 'USD' else 'INR' end currency, 'Maker Works ' || issuer counterparty, 'i_owe' direction from t where variant in (0, 1, 2, 4, 8)""", dates="due_date")
+def payments_from_facts(spark, sf_dir):
+    """Payments that accepted facts of every rendered document make, and to whom."""
+    return built_from_facts(spark, sf_dir).where("category = 'payment'").select("doc_id", "frequency", "due_date", "amount_minor", "currency", "counterparty", "direction")
+
+
+@query(f"""with t as ({TRUTH_SQL}) select doc_id, cast(issue_date + to_months(12) as date) - 1 - notice_days due_date, 'Maker Works ' || issuer counterparty from t where variant = 6""", dates="due_date")
+def notices_from_facts(spark, sf_dir):
+    """The last days to give notice before an agreement renews."""
+    return built_from_facts(spark, sf_dir).where("category = 'notice_deadline'").select("doc_id", "due_date", "counterparty")
+
+
 @query(f"""with t as ({TRUTH_SQL} where o_orderkey % 10 not in (4, 9)) select doc_id, case when doc_id % 2 = 0 then 'both' else 'rules' end origin, doc_id % 2 = 1 conflict from t union all select doc_id, 'model', true from t where doc_id % 2 = 1""")
 def merge_conflicts(spark, sf_dir):
     rules = facts(spark, sf_dir).where("kind = 'total_amount'").drop("variant", "notes").persist()  # read once, used five times

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.parsers import AGREEMENTS
+from ..operators.tables import written
 from ..operators import evaluate, geometry, lifecycle, profile, review
 from .queries import EFFECTIVE, OBLIGATIONS, TODAY, obligations, query, read, today
 
@@ -49,7 +50,7 @@ def documents_to_review(spark, sf_dir):
 def tracked_by_due(spark, sf_dir):
     # the order is the result: places come from row numbers of the sorted partitions and the counts before them
     rows = review.tracked(obligations(spark, sf_dir), table(spark, sf_dir, CUSTOMERS)).select("obligation_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.select("obligation_id", "part", F.expr("at & 8589934591L").alias("at"))
+    rows = written(rows.select("obligation_id", "part", F.expr("at & 8589934591L").alias("at")), "tracked")  # partitions are numbered once, for both uses
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.expr("sum(n) over (order by part rows between unbounded preceding and 1 preceding)").alias("before"))
     return rows.join(sizes, "part").select("obligation_id", (F.coalesce("before", F.lit(0)) + F.col("at") + 1).alias("place"))
 
