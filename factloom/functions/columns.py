@@ -226,6 +226,14 @@ def money_text(minor: Column, currency: Column) -> Column:
     return F.concat(sign, symbol, F.when(currency == "INR", indian).otherwise(western), fraction)
 
 
+def instant_at(day: Column, hour: int, minute: int, zone: Column) -> Column:
+    """The instant of a time of day in a zone; the session's where the zone is null. A time that a switch of clocks skips is as much
+    later as clocks go forward; of one that comes twice the first is taken."""
+    local = F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), F.lit(hour), F.lit(minute), F.lit(0))
+    utc = F.convert_timezone(F.coalesce(zone, F.current_timezone()), F.lit("UTC"), local)
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc))
+
+
 def due_text(due: Column, days: Column, base: Column) -> Column:
     day = F.date_format(due, "d MMM yyyy")
     when = (

@@ -150,6 +150,16 @@ def reminder_plan_recurring(spark, sf_dir):
     return lifecycle.plan_reminders(c, F.lit(f"{TODAY} 09:00:00").cast("timestamp")).select("reminder_id", "obligation_id", "due", "days_before")
 
 
+ZONES = [("UTC", 0), ("Asia/Kolkata", 330), ("Asia/Tokyo", 540), ("America/Phoenix", -420)]
+
+
+@query(f"""with o as ({OBLIGATIONS}) select obligation_id, epoch_us(cast(due_date as timestamp) + interval 9 hour - to_minutes(({[m for _, m in ZONES]})[obligation_id % 4 + 1])) // 1000000 fire_second from o where due_date is not null""")
+def reminder_instants(spark, sf_dir):
+    """When nine o'clock of the due day is, in a zone of each obligation's own."""
+    zone = F.get(F.array(*(F.lit(z) for z, _ in ZONES)), (F.col("obligation_id") % 4).cast("int"))
+    return obligations(spark, sf_dir).where("due_date is not null").select("obligation_id", F.unix_seconds(C.instant_at(F.col("due_date"), 9, 0, zone)).alias("fire_second"))
+
+
 @query(f"""with o as ({OBLIGATIONS}), p as (select obligation_id, due_date due from o where obligation_id % 3 > 0), n as (select obligation_id, due_date due from o where obligation_id % 3 < 2)
 select 'drop' act, obligation_id from p where obligation_id not in (select obligation_id from n) union all select 'add', obligation_id from n where obligation_id not in (select obligation_id from p)""")
 def stale_and_new_reminders(spark, sf_dir):

@@ -37,6 +37,14 @@ def test_calendar(spark):
     assert [(x - date(2020, 1, 1)).days % 14 for x in weeks] == [0, 0] and weeks[0] >= date(2024, 1, 1) and (weeks[0] - date(2024, 1, 1)).days < 14
 
 
+def test_instants_over_two_switches(spark):
+    at = lambda day, hour, minute, zone: one(spark, F.date_format(C.instant_at(F.lit(day).cast("date"), hour, minute, F.lit(zone).cast("string")), "yyyy-MM-dd HH:mm"))
+    ny = "America/New_York"
+    assert [at("2024-03-10", 1, 30, ny), at("2024-03-10", 2, 30, ny), at("2024-03-10", 3, 30, ny)] == ["2024-03-10 06:30", "2024-03-10 07:30", "2024-03-10 07:30"]
+    assert [at("2024-11-03", 0, 30, ny), at("2024-11-03", 1, 30, ny), at("2024-11-03", 2, 30, ny)] == ["2024-11-03 04:30", "2024-11-03 05:30", "2024-11-03 07:30"]
+    assert [at("2024-07-01", 9, 0, z) for z in ("Asia/Kolkata", "UTC", None)] == ["2024-07-01 03:30", "2024-07-01 09:00", "2024-07-01 09:00"]
+
+
 def test_money(spark):
     text = lambda minor, cur: one(spark, C.money_text(F.lit(minor).cast("long"), F.lit(cur)))
     assert text(12345678900, "INR") == "₹12,34,56,789" and text(-150, "USD") == "-$1.50" and text(99900, "INR") == "₹999" and text(123456700, "EUR") == "€1,234,567"
