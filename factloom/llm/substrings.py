@@ -43,6 +43,8 @@ SPAN = WINDOW - GRAM + 1
 HOT, HOT_ALL = 256, 4096
 #: Segments a task gathers before it sends them on.
 FLUSH = 1_000_000
+#: Text of one bucket or shard; their number follows the data, and a task holds one at a time.
+BUCKET_BYTES = 16 << 20
 #: Order of a null doc_id.
 LAST = (1 << 63) - 1
 
@@ -168,15 +170,19 @@ def cut(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in packed.by_bucket(batches, SEGMENTS):
+        yield judged(got)
+
+
+def judged(got: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A bucket's segments: which are gone, which must be looked at and how."""
-    got = packed.joined(batches, SEGMENTS)
     seg, repeat = settled({k: got[k] for k in ("a", "g", "d", "s", "l")})
     told = seg["l"] == 0
     told_any = per_anchor(seg["a"], told) > 0 if len(told) else told
     # a hot anchor's own notice isn't a segment: settle the rest again without it
     if told.any():
         seg2, repeat2 = settled({k: v[~told] for k, v in seg.items()})
-        told_any = told_any[~told][np.lexsort([seg["a"][~told]])] if False else np.isin(seg2["a"], np.unique(seg["a"][told]))
+        told_any = np.isin(seg2["a"], np.unique(seg["a"][told]))
         seg, repeat = seg2, repeat2
     different = per_anchor(seg["a"], repeat == 0) if len(repeat) else np.zeros(0)
     single = told_any | (different > HOT_ALL)
@@ -184,7 +190,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.where(repeat[at] == 1, GONE, np.where(single[at], SINGLE, LOOK)).astype(np.uint8)
     own = notes_of(seg, at, kind)
     both = {k: np.concatenate([own[k], got[k]]) for k in ("nd", "ns", "nl", "nk", "na")}
-    yield note_batch(both["nd"], {"s": both["ns"], "l": both["nl"], "k": both["nk"], "a": both["na"]})
+    return note_batch(both["nd"], {"s": both["ns"], "l": both["nl"], "k": both["nk"], "a": both["na"]})
 
 
 def covered(n: int, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -280,10 +286,13 @@ def to_shards(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in packed.by_bucket(batches, WORDS):
+        if len(got["d"]):
+            yield answered(got)
+
+
+def answered(got: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A shard: index its segments, stream their windows through it, note those that start earlier elsewhere."""
-    got = packed.joined(batches, WORDS)
-    if not len(got["d"]):
-        return
     order = np.lexsort([got["s"], got["d"]])
     lengths = got["l"].astype(np.int64)
     begins = (np.cumsum(lengths) - lengths)[order]
@@ -307,7 +316,7 @@ def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     earlier = (from_d < own_d) | ((from_d == own_d) & (from_s < own_s))
     own_d, own_s = own_d[earlier], own_s[earlier]
     zero = np.zeros(len(own_d))
-    yield note_batch(own_d, {"s": own_s, "l": zero + WINDOW, "k": zero, "a": zero})
+    return note_batch(own_d, {"s": own_s, "l": zero + WINDOW, "k": zero, "a": zero})
 
 
 def finished(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
@@ -333,14 +342,15 @@ def substring_dedup(docs: DataFrame, texts_too: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with texts_too) kept of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = packed.partitions(spark)
     texts = texts_of(docs)
-    notes = packed.dealt(texts.mapInArrow(lambda it: cut(it, n), packed.schema(SEGMENTS))).mapInArrow(met, NOTES)
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(packed.partitions(spark), int(total / BUCKET_BYTES))
+    notes = packed.dealt(texts.mapInArrow(lambda it: cut(it, n), packed.schema(SEGMENTS))).sortWithinPartitions("bucket").mapInArrow(met, NOTES)
     keyed = texts.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
     joined = keyed.join(by_document(notes), "d", "left").select("doc_id", "d", "text", "notes")
     found = saved(joined.mapInArrow(lambda it: looked(it, texts_too), FOUND), "substrings")
     waiting = found.where("not done")
-    shards = packed.dealt(waiting.select("d", "text", "a", "s", "l").mapInArrow(lambda it: to_shards(it, n), packed.schema(WORDS)))
+    shards = packed.dealt(waiting.select("d", "text", "a", "s", "l").mapInArrow(lambda it: to_shards(it, n), packed.schema(WORDS))).sortWithinPartitions("bucket")
     answers = shards.mapInArrow(searched, NOTES)
     rest = waiting.select("doc_id", "d", "n_words", "text", "gone").join(by_document(answers), "d", "left")
     rest = rest.select("doc_id", "n_words", "text", "gone", "notes").mapInArrow(lambda it: finished(it, texts_too), RESULT)

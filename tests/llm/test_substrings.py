@@ -75,3 +75,12 @@ def test_backward_search_counts_and_places():
 
 def test_empty(spark):
     assert substring_dedup(empty(spark)).count() == 0
+
+
+def test_many_buckets_a_task(spark, monkeypatch):
+    """The same rows whatever the number of buckets and shards."""
+    docs = awkward(spark, n=60, seed=4)
+    want = sorted(map(str, substring_dedup(docs).collect()))
+    for size in (50, 700):
+        monkeypatch.setattr(substrings, "BUCKET_BYTES", size)
+        assert sorted(map(str, substring_dedup(docs).collect())) == want
