@@ -28,6 +28,13 @@ GROUPS = {
 }
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it: what is joined to a caller's table meets none of its columns."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def accepted(verification: Column) -> Column:
     return F.coalesce(verification.isin("confirmed", "edited"), F.lit(False))
 
@@ -43,9 +50,10 @@ def in_flight(documents: DataFrame) -> DataFrame:
 
 def needs_review(documents: DataFrame, facts: DataFrame) -> DataFrame:
     """Documents never reviewed, or confirmed ones with facts still pending."""
-    open_ = facts.where("verification = 'pending'").select("doc_id").distinct().withColumn("open", F.lit(True))
+    name = unused(documents, "open")
+    open_ = facts.where("verification = 'pending'").select("doc_id").distinct().withColumn(name, F.lit(True))
     out = documents.join(open_, "doc_id", "left")
-    return out.where((F.col("status") == "needs_review") | ((F.col("status") == "confirmed") & F.col("open"))).drop("open")
+    return out.where((F.col("status") == "needs_review") | ((F.col("status") == "confirmed") & F.col(name))).drop(name)
 
 
 def tracked(obligations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -105,24 +113,26 @@ def in_groups(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"group": name, "group_rank": rank})
 
 
-def picked(facts: DataFrame, picks: DataFrame) -> DataFrame:
-    """facts with `picked`: whether picks(doc_id, no) name them."""
-    own = picks.select("doc_id", "no").distinct().withColumn("picked", F.lit(True))
-    return facts.join(own, ["doc_id", "no"], "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+def picked(facts: DataFrame, picks: DataFrame, name: str = "picked") -> DataFrame:
+    """facts with a column of that name, which they lack: whether picks(doc_id, no) name them."""
+    own = picks.select("doc_id", "no").distinct().withColumn(name, F.lit(True))
+    return facts.join(own, ["doc_id", "no"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def confirmed(facts: DataFrame, picks: DataFrame) -> DataFrame:
     """The picked facts confirmed. Choosing one of several conflicting values rejects the pending others."""
-    chosen = picked(facts, picks)
+    name = unused(facts, "picked")
+    chosen = picked(facts, picks, name)
     conflicting = F.coalesce("conflict", F.lit(False))
     group = Window.partitionBy("doc_id", "kind")
-    decided = F.max(F.when(conflicting, F.col("picked"))).over(group)
+    decided = F.max(F.when(conflicting, F.col(name))).over(group)
     loses = conflicting & F.coalesce(decided, F.lit(False)) & (F.col("verification") == "pending")
-    return chosen.withColumn("verification", F.when(F.col("picked"), "confirmed").when(loses, "rejected").otherwise(F.col("verification"))).drop("picked")
+    return chosen.withColumn("verification", F.when(F.col(name), "confirmed").when(loses, "rejected").otherwise(F.col("verification"))).drop(name)
 
 
 def rejected(facts: DataFrame, picks: DataFrame) -> DataFrame:
-    return picked(facts, picks).withColumn("verification", F.when(F.col("picked"), "rejected").otherwise(F.col("verification"))).drop("picked")
+    name = unused(facts, "picked")
+    return picked(facts, picks, name).withColumn("verification", F.when(F.col(name), "rejected").otherwise(F.col("verification"))).drop(name)
 
 
 def noted(notes: str, note: str) -> Column:
@@ -133,21 +143,22 @@ def noted(notes: str, note: str) -> Column:
 def edited(facts: DataFrame, edits: DataFrame) -> DataFrame:
     """Facts with the values that edits(doc_id, no, and value columns) give, now edited, of high confidence and noted as such."""
     values = [c for c in edits.columns if c not in ("doc_id", "no")]
-    one = edits.groupBy("doc_id", "no").agg(F.min(F.struct(*values)).alias("edit"))
+    name = unused(facts, "edit")
+    one = edits.groupBy("doc_id", "no").agg(F.min(F.struct(*values)).alias(name))
     out = facts.join(one, ["doc_id", "no"], "left")
-    touched = F.col("edit").isNotNull()
-    new = {c: F.when(touched, F.col(f"edit.{c}")).otherwise(F.col(c)) for c in values}
+    touched = F.col(name).isNotNull()
+    new = {c: F.when(touched, F.col(f"{name}.{c}")).otherwise(F.col(c)) for c in values}
     new |= {"verification": F.when(touched, "edited").otherwise(F.col("verification")), "confidence": F.when(touched, "high").otherwise(F.col("confidence"))}
     new["notes"] = F.when(touched, noted("notes", "Edited by you.")).otherwise(F.col("notes"))
-    return out.withColumns(new).drop("edit")
+    return out.withColumns(new).drop(name)
 
 
 def numbered_after(facts: DataFrame, new: DataFrame) -> DataFrame:
     """new rows with sort_index and no after the last of their document (1 where it has none), in the order of `no`."""
-    last = facts.groupBy("doc_id").agg(F.max("sort_index").alias("last"), F.max("no").alias("last_no"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
-    out = new.withColumn("order", order).join(last, "doc_id", "left")
-    return out.withColumns({"sort_index": F.coalesce("last", F.lit(0)) + F.col("order"), "no": F.coalesce("last_no", F.lit(0)) + F.col("order")}).drop("last", "last_no", "order")
+    last, last_no, order = (unused(new, n) for n in ("last", "last_no", "order"))
+    ends = facts.groupBy("doc_id").agg(F.max("sort_index").alias(last), F.max("no").alias(last_no))
+    out = new.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))).join(ends, "doc_id", "left")
+    return out.withColumns({"sort_index": F.coalesce(last, F.lit(0)) + F.col(order), "no": F.coalesce(last_no, F.lit(0)) + F.col(order)}).drop(last, last_no, order)
 
 
 def added(facts: DataFrame, new: DataFrame) -> DataFrame:
@@ -175,10 +186,11 @@ def typed_edit(edits: DataFrame) -> DataFrame:
 def refreshed(facts: DataFrame) -> DataFrame:
     """Relative dates of pending facts, worked out anew from the document's dates; reviewed facts stay as they are."""
     new = lifecycle.resolve_relative(facts.withColumn("base_date", F.lit(None).cast("date")) if "base_date" not in facts.columns else facts)
-    derived = new.select("doc_id", "no", F.struct("day", "recurrence_end", "base_date").alias("new"))
-    pending = (F.col("verification") == "pending") & F.col("new").isNotNull()
+    name = unused(facts, "new")
+    derived = new.select("doc_id", "no", F.struct("day", "recurrence_end", "base_date").alias(name))
+    pending = (F.col("verification") == "pending") & F.col(name).isNotNull()
     out = facts.join(derived, ["doc_id", "no"], "left")
-    return out.withColumns({c: F.when(pending, F.col(f"new.{c}")).otherwise(F.col(c) if c in facts.columns else F.lit(None).cast("date")) for c in ("day", "recurrence_end", "base_date")}).drop("new")
+    return out.withColumns({c: F.when(pending, F.col(f"{name}.{c}")).otherwise(F.col(c) if c in facts.columns else F.lit(None).cast("date")) for c in ("day", "recurrence_end", "base_date")}).drop(name)
 
 
 def reapplied(existing: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -200,34 +212,38 @@ def history_of(name: Column, today: Column) -> Column:
 
 def with_status(obligations: DataFrame, changes: DataFrame, today: Column) -> DataFrame:
     """Statuses as changes(obligation_id, new_status) say, with a line of history; closed ones get the day they closed."""
-    out = obligations.join(changes.groupBy("obligation_id").agg(F.min("new_status").alias("new_status")), "obligation_id", "left")
-    touched, new = F.col("new_status").isNotNull(), F.col("new_status")
+    own = unused(obligations, "new_status")
+    out = obligations.join(changes.groupBy("obligation_id").agg(F.min("new_status").alias(own)), "obligation_id", "left")
+    touched, new = F.col(own).isNotNull(), F.col(own)
     name = F.coalesce(F.create_map(*(F.lit(x) for pair in STATUS_NAMES.items() for x in pair))[new], F.initcap(new))
     return out.withColumns({
         "status": F.coalesce(new, "status"), "history": F.when(touched, history_of(name, today)).otherwise(F.col("history")),
         "completed_on": F.when(touched, F.when(~C.is_open(new), today)).otherwise(F.col("completed_on")),
-    }).drop("new_status")
+    }).drop(own)
 
 
 def reopened(obligations: DataFrame, ids: DataFrame, today: Column) -> DataFrame:
     """Payments are pending again and others upcoming."""
-    out = obligations.join(ids.select("obligation_id").distinct().withColumn("again", F.lit(True)), "obligation_id", "left")
+    name = unused(obligations, "again")
+    out = obligations.join(ids.select("obligation_id").distinct().withColumn(name, F.lit(True)), "obligation_id", "left")
+    again = F.col(name)
     status = F.when(F.col("category") == "payment", "pending").otherwise("upcoming")
     return out.withColumns({
-        "status": F.when(F.col("again"), status).otherwise(F.col("status")), "history": F.when(F.col("again"), history_of(F.lit("Reopened"), today)).otherwise(F.col("history")),
-        "completed_on": F.when(F.col("again"), F.lit(None).cast("date")).otherwise(F.col("completed_on")),
-    }).drop("again")
+        "status": F.when(again, status).otherwise(F.col("status")), "history": F.when(again, history_of(F.lit("Reopened"), today)).otherwise(F.col("history")),
+        "completed_on": F.when(again, F.lit(None).cast("date")).otherwise(F.col("completed_on")),
+    }).drop(name)
 
 
 def advanced(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One step of every document named in outcomes(doc_id, failed, message): on to the next step, or failed with its message.
     What has been confirmed once stays confirmed after reading it again."""
-    out = documents.join(outcomes.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("failed", F.lit(False)).alias("failed"), "message")).alias("o")), "doc_id", "left")
+    name = unused(documents, "outcome")
+    out = documents.join(outcomes.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("failed", F.lit(False)).alias("failed"), "message")).alias(name)), "doc_id", "left")
     step = F.coalesce(*(F.when(F.col("status") == a, b) for a, b in NEXT_STEP.items()), F.when(F.col("status") == "extracting", F.when(F.col("confirmed_on").isNotNull(), "confirmed").otherwise("needs_review")), "status")
-    touched = F.col("o").isNotNull() & F.col("status").isin(IN_FLIGHT)
+    touched, failed = F.col(name).isNotNull() & F.col("status").isin(IN_FLIGHT), F.col(f"{name}.failed")
     return out.withColumns({
-        "status": F.when(touched & F.col("o.failed"), "failed").when(touched, step).otherwise(F.col("status")), "message": F.when(touched & F.col("o.failed"), F.col("o.message")),
-    }).drop("o")
+        "status": F.when(touched & failed, "failed").when(touched, step).otherwise(F.col("status")), "message": F.when(touched & failed, F.col(f"{name}.message")),
+    }).drop(name)
 
 
 def resumed(documents: DataFrame) -> DataFrame:

@@ -189,3 +189,20 @@ def test_shown_texts_of_every_kind(spark):
     df = spark.createDataFrame([(i, *(base | r[0]).values()) for i, r in enumerate(rows)], "i int, " + names)
     got = {r.i: (r.shown, r.found) for r in df.select("i", review.display_text().alias("shown"), review.search_text().alias("found")).collect()}
     assert got == {i: (r[-2], r[-1]) for i, r in enumerate(rows)}
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    names = ["picked", "open", "edit", "last", "last_no", "order", "new", "new_status", "again", "outcome"]
+    extra = {n: F.lit(f"own {n}") for n in names}
+    facts = spark.createDataFrame([(1, 1, "pending", "title", "a", "low", 1, False, None, None)], "doc_id long, no int, verification string, kind string, text string, confidence string, sort_index int, conflict boolean, notes array<string>, day date").withColumns(extra)
+    picks, edits = spark.createDataFrame([(1, 1)], "doc_id long, no int"), spark.createDataFrame([(1, 1, "b")], "doc_id long, no int, text string")
+    docs = spark.createDataFrame([(1, "confirmed", None)], "doc_id long, status string, confirmed_on date").withColumns(extra)
+    duty = spark.createDataFrame([(1, "pending", "payment", None, None)], "obligation_id long, status string, category string, history array<string>, completed_on date").withColumns(extra)
+    today, change = F.lit("2024-05-01").cast("date"), spark.createDataFrame([(1, "completed")], "obligation_id long, new_status string")
+    outcomes = spark.createDataFrame([(1, True, "no")], "doc_id long, failed boolean, message string")
+    for out in (
+        review.confirmed(facts, picks), review.rejected(facts, picks), review.edited(facts, edits), review.needs_review(docs, facts), review.numbered_after(facts, facts),
+        review.with_status(duty, change, today), review.reopened(duty, change, today), review.advanced(docs, outcomes),
+    ):
+        row = out.first()
+        assert all(row[n] == f"own {n}" for n in names)
