@@ -25,6 +25,8 @@ from .common import Texts, gram_hashes, map_texts, mask_of, mix, small_batches,
 
 NGRAM, BITS = 3, 14
 BUCKETS = 1 << BITS
+#: About midway between what good and bad documents score that the fit hasn't seen and the base rules keep: on held-out labels (the quarter
+#: that op5 holds out) good ones score -0.28 or more, bad ones -1.19 or less at sf0.01, -0.04 and -1.42 at sf0.1.
 THRESHOLD = -0.7
 SYMBOLS = mask_of(b"#*$%&|<>")
 CONTINUATION = mask_of(bytes(range(0x80, 0xC0)))

@@ -96,4 +96,4 @@ def test_verdict_on_held_out_labels(spark):
     rows = quality(docs, marks.where(~held)).join(marks.where(held).select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert len(good) > 20 and sum(good) / len(good) > 0.95
-    print("held-out: good kept", sum(good), len(good), "bad kept", sum(bad), len(bad))
+    assert len(bad) > 5 and sum(bad) / len(bad) < 0.1

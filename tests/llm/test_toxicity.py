@@ -88,3 +88,14 @@ def test_scores_are_the_noisy_or_of_sentences(spark):
             if words:
                 none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weights.get(k, 0.0) for w in words for k in keys(w.lower())))))
         assert abs(got[r.doc_id] - (1 - none)) < 1e-9
+
+
+def test_accuracy_on_held_out_labels(spark):
+    """Of labelled documents that the fit hasn't seen, toxic ones are found and others left alone."""
+    from factloom.llm.toxicity import op5_toxicity_mil
+
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    rows = op5_toxicity_mil(spark, "/root/testdata/sf0.01").where("held_out").join(marks, "doc_id").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert len(toxic) > 10 and sum(toxic) / len(toxic) > 0.85
+    assert len(clean) > 50 and sum(clean) / len(clean) < 0.03
