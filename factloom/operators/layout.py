@@ -7,7 +7,6 @@ repeated fragments stay apart; other columns are left aside; empty tables give n
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,33 +79,32 @@ def chunk_texts(pages: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("doc_id", "chunk").agg(F.array_join(kept, "\n\n").alias("text"))
 
 
-ROWS = "page_id long, row int, text string, x double, y double, w double, h double, confidence double"
-
-
 def scanned_rows(fragments: DataFrame) -> DataFrame:
-    """fragments(page_id, text, x, y, w, h, confidence) in reading order: those on one visual row become one line.
-    Each fragment is compared with the row so far, so a page is one sequential scan."""
-
-    def rows_of(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["text"].fillna("").str.strip() != ""]
-        page = page.assign(top=page["y"] + page["h"]).sort_values(["top", "x"], ascending=[False, True], kind="stable")
-        rows: list[list] = []
-        for f in page.itertuples():
-            last = rows[-1][-1] if rows else None
-            if last is not None and min(last.h, f.h) > 0:
-                overlap = (min(last.top, f.top) - max(last.y, f.y)) / min(last.h, f.h)
-                if overlap > 0.5 and f.x >= max(r.x + r.w for r in rows[-1]) - 0.01:
-                    rows[-1].append(f)
-                    continue
-            rows.append([f])
-        out = []
-        for i, row in enumerate(rows):
-            row = sorted(row, key=lambda r: r.x)
-            x, y = min(r.x for r in row), min(r.y for r in row)
-            out.append((row[0].page_id, i, "  ".join(r.text.strip() for r in row), x, y, max(r.x + r.w for r in row) - x, max(r.top for r in row) - y, min(r.confidence for r in row)))
-        return pd.DataFrame(out, columns=["page_id", "row", "text", "x", "y", "w", "h", "confidence"])
-
-    return fragments.groupBy("page_id").applyInPandas(rows_of, ROWS)
+    """fragments(page_id, text, x, y, w, h, confidence) in reading order: those on one visual row become one line. Each fragment,
+    from the top down and left to right, is compared with the one before it and with how far the row reaches so far: a fold over
+    its page. Fragments at one place go by text, then size. Fragments without text are left out; a missing place begins a row of its own."""
+    trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    own = fragments.select("page_id", trimmed.alias("text"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "confidence"))).where("text <> ''")
+    own = own.withColumn("top", F.col("y") + F.col("h"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("down"), "x", "text", "y", "w", "h", "top", "confidence")))
+    pages = own.groupBy("page_id").agg(order.alias("fragments"))
+    state = "struct<row:int,right:double,y:double,h:double,top:double,rows:array<int>>"
+
+    def step(acc, f):
+        least = F.least(acc["h"], f["h"])
+        overlap = (F.least(acc["top"], f["top"]) - F.greatest(acc["y"], f["y"])) / F.when(least > 0, least)
+        joins = F.coalesce((overlap > 0.5) & (f["x"] >= acc["right"] - 0.01), F.lit(False))
+        row, right = F.when(joins, acc["row"]).otherwise(acc["row"] + 1), F.when(joins, F.greatest(acc["right"], f["x"] + f["w"])).otherwise(f["x"] + f["w"])
+        return F.struct(row.alias("row"), right.alias("right"), f["y"].alias("y"), f["h"].alias("h"), f["top"].alias("top"), F.array_append(acc["rows"], row).alias("rows")).cast(state)
+
+    start = F.expr(f"cast(named_struct('row', -1, 'right', null, 'y', null, 'h', null, 'top', null, 'rows', array()) as {state})")
+    told = pages.select("page_id", "fragments", F.aggregate("fragments", start, step)["rows"].alias("rows"))
+    each = told.select("page_id", F.posexplode(F.arrays_zip("fragments", "rows")).alias("place", "z")).select("page_id", "place", F.col("z.rows").alias("row"), "z.fragments.*")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("x", "place", "text"))), lambda t: t["text"])
+    rows = each.groupBy("page_id", "row").agg(
+        F.array_join(texts, "  ").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max("top").alias("top"), F.min("confidence").alias("confidence")
+    )
+    return rows.select("page_id", "row", "text", "x", "y", (F.col("right") - F.col("x")).alias("w"), (F.col("top") - F.col("y")).alias("h"), "confidence")
 
 
 def sideways(lines: DataFrame) -> DataFrame:

@@ -477,10 +477,20 @@ def rotate_boxes(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", F.round(box["x"], 6).alias("nx"), F.round(box["y"], 6).alias("ny"))
 
 
-@query()
+FRAGMENTS = """select l_orderkey page_id, 'f' || l_linenumber "text", (l_linenumber % 3) * 0.3::double x, 0.9::double - l_linenumber // 3 * 0.1::double y, case when l_partkey % 4 = 0 then 0.35::double else 0.2::double end w, 0.05::double h,
+  0.5::double + cast(l_quantity as int) % 10 / 20::double confidence from lineitem"""
+
+
+@query(f"""with recursive f as (select *, y + h top, row_number() over (partition by page_id order by y + h desc, x, "text", y, w, h, confidence) i from ({FRAGMENTS})),
+r as (select page_id, i, 0 row, x + w "right", y, h, top from f where i = 1 union all
+  select f.page_id, f.i, case when j then r.row else r.row + 1 end, case when j then greatest(r."right", f.x + f.w) else f.x + f.w end, f.y, f.h, f.top
+  from r join f on f.page_id = r.page_id and f.i = r.i + 1, lateral (select (least(r.top, f.top) - greatest(r.y, f.y)) / least(r.h, f.h) > 0.5 and f.x >= r."right" - 0.01 j) z)
+select page_id, r.row, string_agg("text", '  ' order by x, i) "text", round(min(x), 6) x, round(max(x + w) - min(x), 6) w, round(min(confidence), 6) confidence from r join f using (page_id, i) group by page_id, r.row""")
 def scanned_rows(spark, sf_dir):
-    fragments = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey page_id", "concat('f', l_linenumber) text", "(l_linenumber % 3) * 0.3D x", "0.9D - floor(l_linenumber / 3) * 0.1D y", "0.2D w", "0.05D h", "0.5D + (l_quantity % 10) / 20 confidence")
-    return layout.scanned_rows(fragments)
+    fragments = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey page_id", "concat('f', l_linenumber) text", "(l_linenumber % 3) * 0.3D x", "0.9D - floor(l_linenumber / 3) * 0.1D y", "case when l_partkey % 4 = 0 then 0.35D else 0.2D end w", "0.05D h", "0.5D + cast(l_quantity as int) % 10 / 20D confidence"
+    )
+    return layout.scanned_rows(fragments).select("page_id", "row", "text", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"), F.round("confidence", 6).alias("confidence"))
 
 
 def checksum_sql() -> str:
