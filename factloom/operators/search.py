@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.parsers import MONTHS, amounts, dates, grouped_numbers, loose_amount
 from . import review
+from .tables import dealt
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ def text_amounts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "text_amounts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("full_text").cast("string").alias("full_text"))
-    return rows.mapInArrow(found, "doc_id long, text_amounts array<bigint>")
+    return dealt(rows).mapInArrow(found, "doc_id long, text_amounts array<bigint>")
 
 
 def build(documents: DataFrame, facts: DataFrame, obligations: DataFrame, today: Column) -> DataFrame:
