@@ -70,7 +70,10 @@ def build(facts: DataFrame, parties: DataFrame) -> DataFrame:
 
 def plan_reminders(candidates: DataFrame, now: Column, limit: int = 60, hour: int = 9, per_recurring: int = 6) -> DataFrame:
     """The next reminders: occurrences times offsets, strictly in the future, soonest first; at `hour` in each candidate's `zone`, if
-    there is such a column, else in the session's."""
+    there is such a column, else in the session's.
+
+    Each day with reminders has one at least, so the first `limit` of them lie in its first `limit` days, or two more, which no
+    zone is behind another: only those days' reminders are told apart and sorted."""
     start = F.to_date(now)
     repeated = C.occurrences(F.col("due_date"), F.col("frequency"), F.col("every"), F.col("recurrence_end"), start, per_recurring)
     days = F.when(F.col("frequency").isNull(), F.array("due_date")).otherwise(repeated)
@@ -78,6 +81,9 @@ def plan_reminders(candidates: DataFrame, now: Column, limit: int = 60, hour: in
     rows = candidates.where("is_open").select("obligation_id", "title", "body", zone.alias("zone"), F.explode(days).alias("due"), F.array_distinct("offsets").alias("offsets"))
     rows = rows.select("*", F.explode("offsets").alias("days_before")).where("days_before >= 0")
     rows = rows.withColumn("fire_at", C.instant_at(F.date_sub("due", F.col("days_before")), hour, 0, F.col("zone"))).where(F.col("fire_at") > now)
+    rows = rows.withColumn("fire_day", F.date_sub("due", F.col("days_before")))
+    first = rows.select("fire_day").distinct().orderBy("fire_day").limit(limit).agg(F.date_add(F.max("fire_day"), 2).alias("last_day"))
+    rows = rows.join(F.broadcast(first), F.col("fire_day") <= F.col("last_day"))
     key = F.concat_ws(".", F.lit("reminder"), F.col("obligation_id").cast("string"), F.date_format("due", "yyyy-MM-dd"), F.col("days_before").cast("string"))
     out = rows.select(key.alias("reminder_id"), "obligation_id", "title", C.due_text(F.col("due"), F.col("days_before"), F.col("body")).alias("body"), "due", "days_before", "fire_at")
     out = out.dropDuplicates(["reminder_id"])
