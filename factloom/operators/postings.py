@@ -54,18 +54,19 @@ def sub_words(word: Column) -> Column:
 
 
 def postings(index: DataFrame) -> Postings:
-    """The postings of an index table; each word of a part once."""
+    """The postings of an index table; each word of a part once. Documents that repeat repeat their postings: a search drops those
+    among the few that it reads, so that building moves every posting once, into its range."""
     keys = index if "k_title" in index.columns else indexed(index)
     texts = [(TITLE, F.array("k_title")), (PARTIES, F.array("k_parties")), (KIND, F.array("k_kind")), (FIELD, F.col("k_fields")), (OBLIGATION, F.col("k_obligations")), (BODY, F.array("body_key"))]
     parts = F.array(*(F.struct(F.lit(p).alias("part"), F.coalesce(t, F.array().cast("array<string>")).alias("texts")) for p, t in texts))
     rows = keys.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.part", F.posexplode("p.texts").alias("item", "text"))
-    words = rows.select("doc_id", "part", "item", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
-    words = words.select(F.explode(sub_words(F.col("word"))).alias("token"), "doc_id", "part", "item").distinct()
+    pieces = F.flatten(F.transform(F.filter(F.split("text", " "), lambda w: w != ""), sub_words))
+    words = rows.select(F.explode(F.array_distinct(pieces)).alias("token"), "doc_id", "part", "item")
     worth = lambda part, column: F.transform(F.coalesce(column, F.array()), lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("item"), x["minor"].alias("minor"), x["day"].alias("day")))
     plain = F.transform(F.array_distinct("text_amounts"), lambda m, i: F.struct(F.lit(BODY).alias("part"), i.alias("item"), m.alias("minor"), F.lit(None).cast("date").alias("day")))
     values = keys.select("doc_id", F.explode(F.concat(*(worth(p, F.col(c)) for p, c in ((FIELD, "fields"), (OBLIGATION, "obligations"))), F.coalesce(plain, F.array()))).alias("v"))
-    values = values.select("doc_id", "v.*", F.year("v.day").alias("year"), F.month("v.day").alias("month")).where("minor is not null or day is not null").distinct()
-    return Postings(words, values, keys.select("doc_id", "k_title", "k_parties").distinct())
+    values = values.select("doc_id", "v.*", F.year("v.day").alias("year"), F.month("v.day").alias("month")).where("minor is not null or day is not null")
+    return Postings(words, values, keys.select("doc_id", "k_title", "k_parties"))
 
 
 def worth_of(part: Column, table: dict[int, float]) -> Column:
@@ -85,7 +86,7 @@ def word_scores(words: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
 
 def value_scores(values: DataFrame, q: Query) -> tuple[DataFrame | None, DataFrame | None]:
     """doc_id, score by amount, and by day or month."""
-    total = lambda rows, table: rows.groupBy("doc_id").agg(F.sum(worth_of(F.col("part"), table)).alias("score")).where("score > 0")
+    total = lambda rows, table: rows.distinct().groupBy("doc_id").agg(F.sum(worth_of(F.col("part"), table)).alias("score")).where("score > 0")
     amounts = total(values.where(F.col("minor") == q.minor), AMOUNT_WORTH) if q.minor is not None else None
     days = None
     if q.day:
@@ -104,7 +105,8 @@ def search(index: Postings, raw: str, limit: int | None = None) -> DataFrame:
     if len(q.tokens) > 1:
         phrase = " ".join(q.tokens)
         bonus = F.when(F.contains("k_title", F.lit(phrase)) | F.contains("k_parties", F.lit(phrase)), PHRASE_WORTH).otherwise(0.0)
-        text = text.join(index.names, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce(bonus, F.lit(0.0))).alias("score"))
+        names = index.names.join(text.select("doc_id"), "doc_id", "left_semi").distinct()
+        text = text.join(names, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce(bonus, F.lit(0.0))).alias("score"))
     rest = text.unionByName(days).groupBy("doc_id").agg(F.sum("score").alias("score")) if days is not None else text
     if amounts is not None:  # an amount decides where it is found
         rest = amounts.unionByName(rest.join(amounts.select("doc_id"), "doc_id", "left_anti"))
