@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching, model, passages
+from ..operators.tables import written
 from .queries import query, read
 from .rendered import TRUTH_SQL, rendered
 
@@ -55,7 +56,7 @@ PLAIN = "length(cast(total_minor // 100 as varchar)) + 3"
   then issue_date + net_days else issue_date end as day from ({TRUTH_SQL}) where variant < 9""", dates="day")
 def nearest_date_of_amounts(spark, sf_dir):
     """The date that stands nearest to the amount of each rendered document, before or behind it."""
-    found = model.mentions(rendered(spark, sf_dir).select("doc_id", "full_text"))
+    found = written(model.mentions(rendered(spark, sf_dir).select("doc_id", "full_text")), "mentions")
     amounts = found.where("kind = 'amount'").select("doc_id", "at")
     return passages.nearest(amounts, found.where("kind = 'date'").select("doc_id", "at", "day"), "date").select("doc_id", "date.day")
 
@@ -63,7 +64,7 @@ def nearest_date_of_amounts(spark, sf_dir):
 @query(f"""select doc_id, variant in (0, 1, 8) or (variant = 4 and cast(issue_date + to_months(term_months) - interval 1 day as date) = issue_date + net_days) verified from ({TRUTH_SQL})""")
 def payments_over_spans(spark, sf_dir):
     """Whether amount and due date of each rendered document are written in the spans of all its amounts and dates, taken together."""
-    docs = rendered(spark, sf_dir)
+    docs = written(rendered(spark, sf_dir).select("doc_id", "full_text", "issue_date", "net_days", "total_minor"), "rendered")
     given = {"kind": F.lit("payment"), "minor": F.col("total_minor"), "day": F.date_add("issue_date", F.col("net_days"))}
     kinds = dict(v.split() for v in matching.VALUE.split(", "))
     value = F.struct(*(given.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in matching.NAMES))
