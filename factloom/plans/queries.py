@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..functions import parsers as P
 from ..operators import evaluate, layout, lifecycle
 from ..operators import search as S
-from ..operators.extract import extract_facts
+from ..operators.extract import asked, extract_facts
 from ..operators.profile import similar_names
 from ..operators.tables import written
 from .rendered import KINDS, TRUTH_SQL, rendered, truth
@@ -199,7 +199,7 @@ def money_text(spark, sf_dir):
 
 def facts(spark, sf_dir, *kinds):
     """Facts of the rendered documents, of some kinds."""
-    return extract_facts(rendered(spark, sf_dir), *kinds)
+    return extract_facts(asked(rendered(spark, sf_dir), *kinds, dealt=True))
 
 
 def _one(spark, sf_dir, kind, *columns):
