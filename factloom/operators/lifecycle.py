@@ -30,11 +30,11 @@ def upcoming(obligations: DataFrame, today: Column, days: int) -> DataFrame:
 
 def build(facts: DataFrame, parties: DataFrame) -> DataFrame:
     """Obligations of accepted facts; parties(doc_id, user_party, is_neither, parties array<struct<name,role>>)."""
-    own = facts.where(F.col("verification").isin("confirmed", "edited")).join(parties, "doc_id", "left")
+    accepted = facts.where(F.col("verification").isin("confirmed", "edited"))
     user = F.col("user_party")
     other = F.filter("parties", lambda p: C.name_similarity(p["name"], user) < C.SAME_NAME)
     counterparty = F.when(user.isNull(), F.get("parties", 0)["name"]).otherwise(F.get(other, 0)["name"])
-    own = own.withColumn("counterparty", counterparty)
+    own = accepted.join(parties, "doc_id", "left").withColumn("counterparty", counterparty)
     amount = C.money_text(F.col("minor"), F.col("currency"))
     keep = ["doc_id", "no", "counterparty", "frequency", "recurrence_end"]
     none = F.lit(None).cast("string")
@@ -44,9 +44,11 @@ def build(facts: DataFrame, parties: DataFrame) -> DataFrame:
         F.col("minor").alias("amount_minor"), "currency", F.col("day").alias("due_date"), "direction", F.lit("pending").alias("status"),
     )
     first = lambda kind: F.min_by(F.struct("day", "automatic", "term_value", "term_unit", "no"), F.when(F.col("kind") == kind, F.col("no")))
-    ends = own.groupBy("doc_id").agg(
-        first("end_date").alias("end"), first("renewal").alias("renewal"), first("notice_period").alias("notice"), F.first("counterparty").alias("counterparty"),
+    ends = accepted.where(F.col("kind").isin("end_date", "renewal", "notice_period")).groupBy("doc_id").agg(
+        first("end_date").alias("end"), first("renewal").alias("renewal"), first("notice_period").alias("notice"),
     ).where("end.day is not null")
+    # names are compared once for each document that something ends in, not for each fact
+    ends = ends.join(parties.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("counterparty", counterparty)
     term = F.when(F.col("renewal.term_value").isNotNull(), F.format_string(" for %d %s", "renewal.term_value", F.when(F.col("renewal.term_value") == 1, F.expr("rtrim('s', renewal.term_unit)")).otherwise(F.col("renewal.term_unit")))).otherwise("")
     rest = [none.alias("frequency"), F.lit(None).cast("date").alias("recurrence_end")]
 
